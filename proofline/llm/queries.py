@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofline.llm import canonical, consensus, spans
-from proofline.session import table
+from proofline.llm import canonical, consensus, encode, mix, spans
+from proofline.session import cut_lineage, table
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
@@ -56,10 +56,36 @@ def p5_reviewers(spark: SparkSession, d: str) -> DataFrame:
     return _consensus(spark, d).annotators().select("annotator", F.round("competence", 6).alias("competence"), F.round("accuracy", 6).alias("accuracy"), "votes")
 
 
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode.encode(table(spark, d, "documents"))
+
+
+def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
+    return p7_ids(spark, d).select("doc_id", encode.decode("ids").alias("text"))
+
+
+def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, d, "documents")
+    sizes = encode.encode(docs).select("doc_id", F.size("ids").alias("size"))
+    sized = cut_lineage(docs.select("doc_id", "source").join(sizes, "doc_id"))
+    return mix.mix(sized, table(spark, d, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mix.shares(*_mixture(spark, d))
+
+
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d)[0]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [p1_found, p1_spans, p1_without_repeats, p3_found, p3_canonical, p5_found, p5_agreement, p5_reviewers]
+    own = [p1_found, p1_spans, p1_without_repeats, p3_found, p3_canonical, p5_found, p5_agreement, p5_reviewers, p7_ids, p7_decoded, p8_shares, p8_mixture]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        # what the ids stand for: the text itself, empty where there is none
+        "p7_decoded": "select doc_id, coalesce(text, '') as text from documents",
+    }
