@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofline.llm import canonical, consensus, encode, mix, spans
+from proofline.llm import canonical, consensus, encode, mix, sentences, spans
 from proofline.session import cut_lineage, table
 
 
@@ -56,6 +56,16 @@ def p5_reviewers(spark: SparkSession, d: str) -> DataFrame:
     return _consensus(spark, d).annotators().select("annotator", F.round("competence", 6).alias("competence"), F.round("accuracy", 6).alias("accuracy"), "votes")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    texts = sentences.running_text(table(spark, d, "md_units"), table(spark, d, "candidates"))
+    return sentences.sentences(texts).select(F.col("record").alias("record_id"), "start_char").distinct()
+
+
+def p6_sentences(spark: SparkSession, d: str) -> DataFrame:
+    texts = sentences.running_text(table(spark, d, "md_units"), table(spark, d, "candidates"))
+    return sentences.sentences(texts).distinct()
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode(table(spark, d, "documents"))
 
@@ -80,7 +90,7 @@ def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [p1_found, p1_spans, p1_without_repeats, p3_found, p3_canonical, p5_found, p5_agreement, p5_reviewers, p7_ids, p7_decoded, p8_shares, p8_mixture]
+    own = [p1_found, p1_spans, p1_without_repeats, p3_found, p3_canonical, p5_found, p5_agreement, p5_reviewers, p6_found, p6_sentences, p7_ids, p7_decoded, p8_shares, p8_mixture]
     return {f.__name__: f for f in own}
 
 
