@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofline.llm import canonical, consensus, encode, mix, sentences, spans
+from proofline.llm import canonical, consensus, encode, language, mix, sentences, spans
 from proofline.session import cut_lineage, table
 
 
@@ -89,8 +89,21 @@ def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d)[0]
 
 
+def _languages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs, codes = table(spark, d, "documents"), table(spark, d, "lang_codes")
+    return language.identify(docs, language.train(docs, codes)), codes
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.mislabelled(*_languages(spark, d)).select("doc_id", "start_char", "lang").distinct()
+
+
+def p9_languages(spark: SparkSession, d: str) -> DataFrame:
+    return _languages(spark, d)[0]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [p1_found, p1_spans, p1_without_repeats, p3_found, p3_canonical, p5_found, p5_agreement, p5_reviewers, p6_found, p6_sentences, p7_ids, p7_decoded, p8_shares, p8_mixture]
+    own = [p1_found, p1_spans, p1_without_repeats, p3_found, p3_canonical, p5_found, p5_agreement, p5_reviewers, p6_found, p6_sentences, p7_ids, p7_decoded, p8_shares, p8_mixture, p9_found, p9_languages]
     return {f.__name__: f for f in own}
 
 
