@@ -28,10 +28,15 @@ from pyspark.sql import functions as F
 # Fixed value: how texts are split before the merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: The same for Java, with its blanks spelt out and runs that are never given back.
+_BLANKS = r"\t-\r \x{85}\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_JAVA_PATTERN = rf"'(?:[stmd]|re|ve|ll)| ?\p{{L}}++| ?\p{{N}}++| ?[^{_BLANKS}\p{{L}}\p{{N}}]++|[{_BLANKS}]+(?![^{_BLANKS}])|[{_BLANKS}]+"
+
 BLOCK_CHARS = 2_000_000  # characters of text in a block, on average
-_NONE = 1 << 30  # the rank of a pair that is no merge
+_NONE = 99_999  # the rank of a pair that is no merge
 _FREE = -1
-_BARRIER = "￿"
+_BARRIER = "\uffff"
+_JOINT = "\u00ff"  # stands for a byte that no text has
 
 
 def default_vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -70,12 +75,12 @@ class Vocabulary:
     def boundary(self) -> str:
         """Pattern of the boundaries, in a text of one character per byte, that no token spans."""
         before = self.spanned()
-        free = "".join(f"\\x{b:02X}" for b in range(0xC2, 0xF5) if not before.get(b))
-        parts = [f"(?=[{free}])"] if free else []
-        for b, xs in sorted(before.items()):
-            if b <= 0xF4:
-                parts.append(f"(?=\\x{b:02X})(?<![{''.join(f'\\x{x:02X}' for x in sorted(xs))}])")
-        return "|".join(parts)
+        alike: dict[frozenset[int], list[int]] = defaultdict(list)
+        for b in range(0xC2, 0xF5):
+            alike[frozenset(before.get(b, ()))].append(b)
+        letters = lambda bs: "".join(f"\\x{b:02X}" for b in sorted(bs))
+        parts = [f"[{letters(bs)}])" + (f"(?<![{letters(xs)}])" if xs else "") for xs, bs in sorted(alike.items(), key=lambda x: -len(x[1]))]
+        return "(?=[\\xC2-\\xF4])(?:(?=" + "|(?=".join(parts) + ")"
 
 
 @functools.lru_cache(maxsize=4)
@@ -140,18 +145,26 @@ def _fold(vocabulary: Vocabulary, piece: str) -> Column:
     m1, m2, t1, t2 = _cuckoo(vocabulary)
 
     def rank(left: str, right: str) -> str:
-        key = _KEY.format(l=left, r=right)
-        one, two = f"t.a[cast(shiftright({key} * {m1}L, 20) % {_SIZE} as int)]", f"t.b[cast(shiftright({key} * {m2}L, 20) % {_SIZE} as int)]"
-        return f"case when shiftright({one}, 17) = {key} then cast({one} & 131071L as int) when shiftright({two}, 17) = {key} then cast({two} & 131071L as int) else {_NONE} end"
-
-    ids = f"transform(sequence(1, length({piece})), i -> t.s[ascii(substring({piece}, i, 1))])"
-    start = f"transform(array({ids}), x -> named_struct('ids', x, 'ranks', zip_with(slice(x, 1, size(x) - 1), slice(x, 2, size(x) - 1), (l, r) -> {rank('l', 'r')})))[0]"
+        at = f"cast(shiftright(k * {{}}L, 20) % {_SIZE} as int)"
+        second = f"transform(array(t.b[{at.format(m2)}]), f -> case when shiftright(f, 17) = k then cast(f & 131071L as int) else {_NONE} end)[0]"
+        first = f"transform(array(t.a[{at.format(m1)}]), e -> case when shiftright(e, 17) = k then cast(e & 131071L as int) else {second} end)[0]"
+        return f"transform(array({_KEY.format(l=left, r=right)}), k -> {first})[0]"
+
+    size = len(vocabulary.single)
+    of_bytes = [_NONE] * (size * size)
+    byte_of = {i: b for b, i in enumerate(vocabulary.single)}
+    for r, (x, y) in enumerate(vocabulary.pairs):
+        if x in byte_of and y in byte_of:
+            of_bytes[byte_of[x] * size + byte_of[y]] = r
+    codes = f"transform(sequence(1, length({piece})), i -> ascii(substring({piece}, i, 1)))"
+    pairs = f"zip_with(slice(x, 1, size(x) - 1), slice(x, 2, size(x) - 1), (l, r) -> t.p[l * {size} + r])"
+    start = f"transform(array({codes}), x -> named_struct('ids', transform(x, c -> t.s[c]), 'ranks', {pairs}))[0]"
     left = f"case when v.p > 1 then concat(slice(s.ranks, 1, v.p - 2), array({rank('s.ids[v.p - 2]', 'v.m')})) else slice(s.ranks, 1, 0) end"
     right = f"case when v.p + 1 < size(s.ids) then concat(array({rank('v.m', 's.ids[v.p + 1]')}), slice(s.ranks, v.p + 2, size(s.ranks))) else slice(s.ranks, 1, 0) end"
     merged = f"named_struct('ids', concat(slice(s.ids, 1, v.p - 1), array(v.m), slice(s.ids, v.p + 2, size(s.ids))), 'ranks', concat({left}, {right}))"
-    place = f"named_struct('p', cast(array_position(s.ranks, array_min(s.ranks)) as int), 'm', array_min(s.ranks) + {vocabulary.first})"
-    step = f"case when coalesce(array_min(s.ranks), {_NONE}) >= {_NONE} then s else transform(array({place}), v -> {merged})[0] end"
-    constants = f"named_struct('a', {_literal(t1, 'bigint')}, 'b', {_literal(t2, 'bigint')}, 's', {_literal(list(vocabulary.single), 'int')})"
+    place = f"named_struct('p', cast(array_position(s.ranks, w) as int), 'm', w + {vocabulary.first})"
+    step = f"transform(array(coalesce(array_min(s.ranks), {_NONE})), w -> case when w >= {_NONE} then s else transform(array({place}), v -> {merged})[0] end)[0]"
+    constants = f"named_struct('a', {_literal(t1, 'bigint')}, 'b', {_literal(t2, 'bigint')}, 's', {_literal(list(vocabulary.single), 'int')}, 'p', {_literal(of_bytes, 'int')})"
     return F.expr(f"transform(array({constants}), t -> aggregate(sequence(1, length({piece}) - 1), {start}, (s, i) -> {step}).ids)[0]")
 
 
@@ -188,12 +201,16 @@ def _merge_long(vocabulary: Vocabulary):
 
 
 def pieces(text: str, vocabulary: Vocabulary) -> Column:
-    """The pieces of a text column, each with one character per byte; null for a null text."""
-    words = F.regexp_extract_all(F.col(text), F.lit("(?U)" + PATTERN), F.lit(0))
+    """The pieces of a text column, each with one character per byte, joined by ``_JOINT``; null for a null text."""
+    words = F.regexp_extract_all(F.col(text), F.lit(_JAVA_PATTERN), F.lit(0))
     bytewise = lambda c: F.decode(c.cast("binary"), "ISO-8859-1")
-    fast = F.array_remove(F.split(bytewise(F.array_join(words, _BARRIER)), "\\xEF\\xBF\\xBF|" + vocabulary.boundary()), "")
-    slow = F.array_remove(F.flatten(F.transform(words, lambda w: F.split(bytewise(w), vocabulary.boundary()))), "")
-    return F.when(F.contains(F.col(text), F.lit(_BARRIER)), slow).otherwise(fast)
+    cut = lambda c: F.regexp_replace(c, vocabulary.boundary(), _JOINT)
+    fast = F.replace(cut(bytewise(F.array_join(words, _BARRIER))), F.lit("\u00ef\u00bf\u00bf"), F.lit(_JOINT))
+    for _ in range(2):  # a cut beside a joint
+        fast = F.replace(fast, F.lit(_JOINT * 2), F.lit(_JOINT))
+    slow = F.array_join(F.transform(words, lambda w: cut(bytewise(w))), _JOINT)
+    joined = F.when(F.contains(F.col(text), F.lit(_BARRIER)), slow).otherwise(fast)
+    return F.ltrim(joined, F.lit(_JOINT))
 
 
 def _assemble(tokens, key: str):
@@ -201,7 +218,8 @@ def _assemble(tokens, key: str):
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         known = tokens.value
-        lists = left.column("pieces").combine_chunks() if len(left) else pa.array([], pa.list_(pa.string()))
+        joined = pc.cast(left.column("pieces").combine_chunks(), pa.string()) if len(left) else pa.array([], pa.string())
+        lists = pc.split_pattern(pc.if_else(pc.equal(joined, ""), pa.scalar(None, pa.string()), joined), _JOINT)
         sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         own = pc.cast(right.column("piece").combine_chunks(), pa.string())
         at = pc.index_in(pc.cast(lists.flatten(), pa.string()), value_set=pa.concat_arrays([known, own]))
@@ -241,7 +259,8 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
     tokens = pa.array(vocabulary.tokens, pa.string())
     known = spark.createDataFrame(pa.table({"piece": pa.array([t for t in vocabulary.tokens if t])}))
     own = (
-        split.select("block", key, F.explode(F.array_distinct("pieces")).alias("piece"))
+        split.select("block", key, F.explode(F.array_distinct(F.split("pieces", _JOINT))).alias("piece"))
+        .where("piece <> ''")
         .join(F.broadcast(known), "piece", "left_anti")  # the vocabulary: a fixed size
         .groupBy("block", "piece").agg(F.min(key).alias("seen"))
     )
