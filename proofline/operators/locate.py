@@ -49,8 +49,12 @@ def anywhere(literals: DataFrame, texts: DataFrame, options: Normalization = Nor
     at = hay.mapInArrow(_grams, kind).join(starts, "gram", "left_semi")
     pairs = long.join(at, "gram").select("literal", "needle", "key")
     short = need.where(F.length("needle") < GRAM)
-    grams = hay.select("key", F.explode(F.expr(f"array_distinct(flatten(transform(sequence(1, {GRAM - 1}), n -> transform(sequence(1, greatest(length(text) - n + 1, 1)), i -> substring(text, i, n)))))")).alias("needle"))
-    pairs = pairs.unionByName(short.join(grams, "needle").select("literal", "needle", "key").distinct())
+    lengths = sorted(r["n"] for r in short.select(F.length("needle").alias("n")).distinct().collect())  # fewer than GRAM
+    if lengths:
+        sizes = ", ".join(map(str, lengths))
+        cut = f"array_distinct(flatten(transform(array({sizes}), n -> transform(sequence(1, greatest(length(text) - n + 1, 1)), i -> substring(text, i, n)))))"
+        grams = hay.select("key", F.explode(F.expr(cut)).alias("needle"))
+        pairs = pairs.unionByName(short.join(grams, "needle").select("literal", "needle", "key").distinct())
     return pairs.join(hay, "key").where(F.contains("text", "needle")).select("literal", "key", T.exact_count("text", "needle").alias("hits"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from proofline.functions.tokens import NUMBER_WORDS, STOP_WORDS
+
 # Rows of the OCR files with their reason, as SQL: fields by a scan of quoted or plain pieces.
 _OCR = r"""
 with src as (
@@ -32,6 +34,73 @@ reasons as (
     then 'value' end as reason from cells)
 """
 
+_W = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def _blanks(x: str) -> str:
+    return f"trim(regexp_replace({x}, '{_W}+', ' ', 'g'), ' ')"
+
+
+def _quotes(x: str) -> str:
+    return f"translate({x}, '‘’‚‛“”„‟', repeat(chr(39), 4) || repeat(chr(34), 4))"
+
+
+def _norm(x: str) -> str:
+    divided = rf"[-\x{{AD}}\x{{2010}}]{_W}*[\n\r\x{{2028}}\x{{2029}}]{_W}*(\p{{Ll}})"
+    return _blanks(f"regexp_replace({_quotes(x)}, '{divided}', '\\1', 'g')")
+
+
+def _count(h: str, n: str) -> str:
+    return f"(case when {n} = '' then 0 else cast((length({h}) - length(replace({h}, {n}, ''))) // greatest(length({n}), 1) as int) end)"
+
+
+def _kind(n: str) -> str:
+    return f"(case when {n} = 0 then 'missing' when {n} = 1 then 'unique' when {n} > 1 then 'ambiguous' end)"
+
+
+def _list(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def _inside(text: str, token: str, flags: str = "") -> str:
+    """A token without an ASCII letter or digit beside it; this dialect has no look-around, so the text is padded."""
+    return f"regexp_matches(' ' || {text} || ' ', '{flags}[^0-9A-Za-z]' || regexp_escape({token}) || '[^0-9A-Za-z]')"
+
+
+def _sentences(x: str) -> str:
+    cut = rf"string_split(regexp_replace({x}, '([.!?])[ \t\n\f\r]+', '\1' || chr(1), 'g'), chr(1))"
+    return f"list_filter(list_transform({cut}, lambda s: {_norm('s')}), lambda s: s <> '')"
+
+
+_SUM = "s as (select distinct on (id) id, claims, sources from summaries)"
+_CLAIMS = _SUM + ", claims_x as (select id, cast(generate_subscripts(claims, 1) - 1 as int) as claim, unnest(claims) as claim_text from s)"
+_UNITS = "u as (select distinct on (unit_id) * from md_units)"
+_PAGES = "p as (select distinct on (page_id) * from pdf_pages)"
+_LOC = """l as (select *, cast(row_number() over (partition by id, claim order by locator_id) - 1 as int) as nth
+  from (select distinct on (locator_id) * from locators))"""
+_REV = "r as (select distinct on (review_id) * from reviews)"
+_DECLARED = "d as (select id, unnest(sources) as src from s)"
+_NUMBERS = "list_transform(regexp_extract_all(claim_text, '[0-9][0-9.,]*%?'), lambda t: rtrim(t, '.,'))"
+_NUMBER_WORDS = f"list_filter({_list(NUMBER_WORDS)}, lambda w: {_inside('lower(claim_text)', 'w')})"
+_FOUND = f"""{_SUM}, {_DECLARED}, {_UNITS}, {_PAGES}, {_LOC},
+ cfg as (select * from (values ('default', true), ('supplement', false), ('compendium', false)) t(name, takes)),
+ ok as (select d.id, src.name as source, src.markdown is not null as md_ok from d join cfg on cfg.name = src.name where not (src.markdown is not null and not takes)),
+ ui as (select id, source, kind, line, col, count(*) as units, any_value(text) as unit_text, any_value(section) as unit_section from u group by all),
+ pi as (select id, source, backend, page, count(*) as pages, any_value(text) as page_text from p group by all),
+ f as (select l.*, ok.id is not null as source_ok, md_ok, units, unit_section, pages, {_norm('l.exact')} as needle, {_norm('unit_text')} as hay, {_norm("coalesce(page_text, '')")} as page_hay
+   from l left join ok on ok.id = l.id and ok.source = l.source
+   left join ui on ui.id = l.id and ui.source = l.source and ui.kind = l.markdown.unit and ui.line = l.markdown.line and ui.col = l.markdown.col
+   left join pi on pi.id = l.id and pi.source = l.source and pi.backend = l.pdf.backend and pi.page = l.pdf.page),
+ found as (select *, {_count('hay', 'needle')} as md_count, {_count('page_hay', 'needle')} as pdf_count from f)"""
+_LEGS = f"""{_FOUND}, per as (select id, claim, count(*) as n, bool_and(not (source_ok and (pages is null or pdf_count <> 1))) as pdf_ok from found group by all),
+ hits as (select distinct l.id, l.claim, l.nth, u.source from l join u on u.id = l.id where u.source = 'default' and {_count(_norm('u.text'), _norm('l.exact'))} = 1),
+ md as (select id, claim, source, count(*) as hits from hits group by all),
+ legs as (select per.id, per.claim, list_concat(case when pdf_ok then ['pdf'] else [] end, case when md.source is not null then [md.source] else [] end) as legs
+   from per left join md on md.id = per.id and md.claim = per.claim and md.hits = per.n)"""
+_WORDS = f"""list_distinct(list_filter(regexp_extract_all(translate({_norm('claim_text')}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z]+'),
+  lambda w: length(w) >= 4 and not list_contains({_list(STOP_WORDS)}, w)))"""
+_LINES = "string_split(text, chr(10))"
+
 ORACLE: dict[str, str] = {
     "p2_found": _OCR + "select distinct raw_id, reason from reasons where reason is not null",
     "p2_loaded": _OCR
@@ -40,4 +109,73 @@ ORACLE: dict[str, str] = {
   cast(counts[5] as bigint) as word_num, cast(counts[6] as bigint) as left_px, cast(counts[7] as bigint) as top_px,
   cast(counts[8] as bigint) as width, cast(counts[9] as bigint) as height, cast(conf as double) as conf, text
   from reasons where reason is null""",
+    "norm_documents": f"select doc_id, {_norm('text')} as norm, sha256({_norm('text')}) as digest from documents",
+    "norm_whitespace_only": f"select distinct unit_id, {_blanks('text')} as norm from md_units",
+    "fold_quotes": f"select doc_id, {_quotes('text')} as folded from documents",
+    "units_by_line": f"""with x as (select doc_id, unnest({_LINES}) as line, generate_subscripts({_LINES}, 1) as line_no from documents)
+ select doc_id, line_no, {_blanks('line')} as unit from x where {_blanks('line')} <> ''""",
+    "unit_index": f"with {_UNITS} select id, source, kind, line, col, count(*) as units from u group by all",
+    "sentences": f"""with {_UNITS}, x as (select unit_id, {_sentences('text')} as ss from u)
+ select unit_id, unnest(ss) as sentence, generate_subscripts(ss, 1) - 1 as pos from x""",
+    "candidate_spans": f"""with {_UNITS}, n as (select *, {_norm('text')} as n from u), x as (select *, {_sentences('n')} as ss from n),
+ y as (select *, case when len(ss) > 1 then list_append(ss, n) else ss end as spans from x),
+ z as (select *, unnest(spans) as exact, generate_subscripts(spans, 1) - 1 as span_ord from y)
+ select id, source, ord as unit_ord, span_ord, exact, line, col, kind as unit from z where {_count('n', 'exact')} = 1""",
+    "claim_hash": f"with {_CLAIMS} select id, claim, claim_text, sha256(claim_text) as claim_hash from claims_x",
+    "numeric_tokens": f"""with {_CLAIMS}, x as (select id, claim, {_NUMBERS} as t from claims_x)
+ select id, claim, unnest(t) as token, generate_subscripts(t, 1) - 1 as pos from x""",
+    "number_words": f"with {_CLAIMS} select id, claim, unnest({_NUMBER_WORDS}) as token from claims_x",
+    "content_words": f"with {_CLAIMS} select id, claim, unnest({_WORDS}) as word from claims_x",
+    "word_coverage": f"""with {_CLAIMS}, {_LOC}, e as (select id, claim, list(exact) as exacts from l group by all),
+ x as (select c.id, c.claim, unnest({_WORDS}) as word, exacts from claims_x c join e on e.id = c.id and e.claim = c.claim)
+ select id, claim, word from x where len(list_filter(exacts, lambda t: {_inside('t', 'word', '(?i)')})) = 0""",
+    "locator_outcomes": f"""with {_FOUND} select locator_id, coalesce(units, 0) as units, {_kind('md_count')} as markdown_outcome,
+ case when pages is not null then {_kind('pdf_count')} end as pdf_outcome from found""",
+    "weak_sections": f"""with {_FOUND} select id, claim from found group by all having bool_and(source_ok and md_ok and coalesce(units = 1, false)
+ and len(list_filter(coalesce(unit_section, []), lambda h: contains(lower(h), 'gal') or contains(lower(h), 'vor'))) > 0)""",
+    "stale_sections": f"""with {_FOUND} select id, claim, nth as locator from found where source_ok and md_ok and units = 1 and md_count = 1
+ and len(markdown.section) > 0 and coalesce(unit_section, []) <> markdown.section""",
+    "stale_hash": f"""with {_CLAIMS}, {_LOC}, e as (select id, claim, min_by(claim_sha256, nth) as h from l group by all)
+ select e.id, case when claim >= len(claims) then 'entry_out_of_range' else 'stale_hash' end as code, claim
+ from e join s on s.id = e.id where claim >= len(claims) or h is distinct from sha256(claims[claim + 1])""",
+    "missing_entries": f"""with {_CLAIMS}, {_LOC} select c.id, 'missing_evidence_entry' as code, c.claim from claims_x c join s on s.id = c.id
+ where sources is not null and not exists (select 1 from l where l.id = c.id and l.claim = c.claim)""",
+    "unused_sources": f"""with {_SUM}, {_DECLARED}, {_LOC} select id, src.name as source from d
+ where not exists (select 1 from l where l.id = d.id and coalesce(l.source, 'default') = d.src.name)""",
+    "unknown_sources": f"""with {_SUM}, {_DECLARED}, {_LOC}
+ select l.id, case when d.id is null then 'unknown_source' else 'markdown_locator_mismatch' end as code, claim, l.source
+ from l join s on s.id = l.id and s.sources is not null left join d on d.id = l.id and d.src.name = l.source
+ where d.id is null or (d.src.markdown is null) <> (l.markdown is null)""",
+    "unnormalized_exact": f"""with {_LOC} select id, case when {_norm('exact')} = '' then 'empty_exact' else 'unnormalized_exact' end as code, claim
+ from l where {_norm('exact')} <> exact""",
+    "review_missing": f"""with {_CLAIMS}, {_REV} select c.id, 'missing_review' as code, c.claim, 1 as n from claims_x c
+ where not exists (select 1 from r where r.id = c.id and r.claim = c.claim)
+ union all select r.id, 'unknown_review_claim', claim, count(*) from r join s on s.id = r.id where claim >= len(claims) group by all""",
+    "review_unsupported": f"""with {_SUM}, {_REV}, x as (select r.* from r join s on s.id = r.id where claim < len(claims))
+ select id, 'unsupported_verdict' as code, claim, count(*) as n from x where coalesce(verdict, '') <> 'supported' group by all
+ union all select id, 'duplicate_review_claim', claim, count(*) - 1 from x group by all having count(*) > 1""",
+    "legs": f"with {_LEGS} select id, claim, array_to_string(legs, ',') as legs, len(legs) >= 2 as corroborated from legs",
+    "locate_literals": f"""with {_UNITS}, n as (select unit_id, {_norm('text')} as hay from u),
+ c as (select candidate_id, {_norm('exact')} as needle from (select distinct on (candidate_id) * from candidates)),
+ h as (select candidate_id, unit_id, {_count('hay', 'needle')} as hits from c join n on needle <> '' and contains(hay, needle)),
+ g as (select candidate_id, count(*) as places, count(*) filter (hits = 1) as singles, min(unit_id) filter (hits = 1) as one from h group by all)
+ select c.candidate_id as literal, coalesce(places, 0) as places, case when singles = 1 then one end as unique_key,
+ case when singles = 1 then 'unique' when places > 0 then 'ambiguous' else 'missing' end as outcome from c left join g on g.candidate_id = c.candidate_id""",
+    "locate_pages": f"""with {_PAGES}, {_LOC}, n as (select id, page, {_norm('text')} as hay from p where backend = 'mutool-native'),
+ c as (select id, locator_id, {_norm('exact')} as needle from l),
+ h as (select locator_id, page, {_count('hay', 'needle')} as hits from c join n on n.id = c.id and needle <> '' and contains(hay, needle)),
+ g as (select locator_id, count(distinct page) as pages, min(page) as page, max(hits) as most from h group by all)
+ select c.locator_id as literal, coalesce(pages, 0) as pages, case when pages = 1 then page end as page,
+ case when pages is null then 'missing' when pages > 1 then 'many' when most > 1 then 'repeated' else 'ok' end as outcome
+ from c left join g on g.locator_id = c.locator_id""",
+    "extract_markdown": f"""with {_PAGES}, x as (select id, source, page, {_norm("coalesce(text, '')")} as t from p where backend = 'mutool-native')
+ select id, source, string_agg('## Page ' || page || chr(10) || chr(10) || case when t = '' then '' else t || chr(10) || chr(10) end, '' order by page) as markdown,
+ count(*) as pages, count(*) filter (t <> '') as paragraphs from x group by all""",
+    "source_pages": f"with {_LOC} select id, source, pdf.backend as backend, count(distinct pdf.page) as cited_pages from l group by all",
+    "ocr_page_text": _OCR
+    + f""", w as (select *, {_blanks('text')} <> '' as worded from reasons where reason is null),
+ g as (select pdf, page, line_no, text, try_cast(conf as double) as c, [counts[2], counts[3], counts[4]] as k,
+   lag([counts[2], counts[3], counts[4]]) over (partition by pdf, page order by line_no) as before from w where worded)
+ select pdf, page, string_agg(case when before is null then '' when before = k then ' ' else chr(10) end || text, '' order by line_no) as text,
+   avg(c) filter (c >= 0) as mean_confidence, count(*) as words from g group by all""",
 }
