@@ -159,10 +159,11 @@ def _fold(vocabulary: Vocabulary, piece: str) -> Column:
     codes = f"transform(sequence(1, length({piece})), i -> ascii(substring({piece}, i, 1)))"
     pairs = f"zip_with(slice(x, 1, size(x) - 1), slice(x, 2, size(x) - 1), (l, r) -> t.p[l * {size} + r])"
     start = f"transform(array({codes}), x -> named_struct('ids', transform(x, c -> t.s[c]), 'ranks', {pairs}))[0]"
-    left = f"case when v.p > 1 then concat(slice(s.ranks, 1, v.p - 2), array({rank('s.ids[v.p - 2]', 'v.m')})) else slice(s.ranks, 1, 0) end"
-    right = f"case when v.p + 1 < size(s.ids) then concat(array({rank('v.m', 's.ids[v.p + 1]')}), slice(s.ranks, v.p + 2, size(s.ranks))) else slice(s.ranks, 1, 0) end"
-    merged = f"named_struct('ids', concat(slice(s.ids, 1, v.p - 1), array(v.m), slice(s.ids, v.p + 2, size(s.ids))), 'ranks', concat({left}, {right}))"
-    place = f"named_struct('p', cast(array_position(s.ranks, w) as int), 'm', w + {vocabulary.first})"
+    ids = "array_remove(transform(s.ids, (y, j) -> case when j = v.p then v.m when j = v.p + 1 then -1 else y end), -1)"
+    before, behind = rank("s.ids[v.p - 1]", "v.m"), rank("v.m", "s.ids[v.p + 2]")
+    ranks = f"array_remove(transform(s.ranks, (y, j) -> case when j = v.p then -1 when j = v.p - 1 then {before} when j = v.p + 1 then {behind} else y end), -1)"
+    merged = f"named_struct('ids', {ids}, 'ranks', {ranks})"
+    place = f"named_struct('p', cast(array_position(s.ranks, w) as int) - 1, 'm', w + {vocabulary.first})"
     step = f"transform(array(coalesce(array_min(s.ranks), {_NONE})), w -> case when w >= {_NONE} then s else transform(array({place}), v -> {merged})[0] end)[0]"
     constants = f"named_struct('a', {_literal(t1, 'bigint')}, 'b', {_literal(t2, 'bigint')}, 's', {_literal(list(vocabulary.single), 'int')}, 'p', {_literal(of_bytes, 'int')})"
     return F.expr(f"transform(array({constants}), t -> aggregate(sequence(1, length({piece}) - 1), {start}, (s, i) -> {step}).ids)[0]")
@@ -259,7 +260,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
     tokens = pa.array(vocabulary.tokens, pa.string())
     known = spark.createDataFrame(pa.table({"piece": pa.array([t for t in vocabulary.tokens if t])}))
     own = (
-        split.select("block", key, F.explode(F.array_distinct(F.split("pieces", _JOINT))).alias("piece"))
+        split.select("block", key, F.explode_outer(F.array_distinct(F.split("pieces", _JOINT))).alias("piece"))
         .where("piece <> ''")
         .join(F.broadcast(known), "piece", "left_anti")  # the vocabulary: a fixed size
         .groupBy("block", "piece").agg(F.min(key).alias("seen"))
