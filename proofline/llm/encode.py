@@ -171,8 +171,9 @@ def _fold(vocabulary: Vocabulary, piece: str) -> Column:
 
 def _merge_long(vocabulary: Vocabulary):
     """The same merges with a heap, for pieces too long to fold."""
+    ranks = {p: r for r, p in enumerate(vocabulary.pairs)}
 
-    def encode(piece: str, ranks: dict[tuple[int, int], int]) -> list[int]:
+    def encode(piece: str) -> list[int]:
         ids = [vocabulary.single[ord(c)] for c in piece]
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -192,13 +193,7 @@ def _merge_long(vocabulary: Vocabulary):
                     heapq.heappush(heap, (q, x, ids[x], ids[y]))
         return [x for x in ids if x >= 0]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = {p: r for r, p in enumerate(vocabulary.pairs)}
-        for batch in batches:
-            pieces = batch.column("piece")
-            yield pa.record_batch([pieces, pa.array([encode(p, ranks) for p in pieces.to_pylist()], pa.list_(pa.int32()))], names=["piece", "ids"])
-
-    return run
+    return encode
 
 
 def pieces(text: str, vocabulary: Vocabulary) -> Column:
@@ -218,17 +213,21 @@ def _assemble(tokens, key: str):
     schema = pa.schema([(key, pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        known = tokens.value
+        known, vocabulary = tokens.value
         joined = pc.cast(left.column("pieces").combine_chunks(), pa.string()) if len(left) else pa.array([], pa.string())
         lists = pc.split_pattern(pc.if_else(pc.equal(joined, ""), pa.scalar(None, pa.string()), joined), _JOINT)
         sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        own = pc.cast(right.column("piece").combine_chunks(), pa.string())
+        own = pc.fill_null(pc.cast(right.column("piece").combine_chunks(), pa.string()), "")
         at = pc.index_in(pc.cast(lists.flatten(), pa.string()), value_set=pa.concat_arrays([known, own]))
         if at.null_count:
-            raise ValueError("a piece is missing from its block's dictionary")
+            lost = lists.flatten().filter(pc.is_null(at))
+            raise ValueError(f"{len(lost)} pieces are missing from their block's dictionary of {len(own)}, as {lost[0].as_py()!r}")
         at = at.to_numpy(zero_copy_only=False).astype(np.int64)
         ids = right.column("ids").combine_chunks()
-        lengths = np.concatenate([np.ones(len(known), np.int64), pc.list_value_length(ids).to_numpy(zero_copy_only=False)])
+        if ids.null_count:
+            merge = _merge_long(vocabulary)
+            ids = pa.array([merge(p) if i is None else i for p, i in zip(own.to_pylist(), ids.to_pylist())], pa.list_(pa.int32()))
+        lengths = np.concatenate([pc.not_equal(known, "").to_numpy(zero_copy_only=False).astype(np.int64), pc.list_value_length(ids).to_numpy(zero_copy_only=False)])
         values = np.concatenate([np.arange(len(known), dtype=np.int32), ids.flatten().to_numpy(zero_copy_only=False)])
         begins = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         long = lengths[at]
@@ -259,17 +258,18 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
     split = source.select(block.alias("block"), key, pieces("text", vocabulary).alias("pieces")).repartition("block")
     tokens = pa.array(vocabulary.tokens, pa.string())
     known = spark.createDataFrame(pa.table({"piece": pa.array([t for t in vocabulary.tokens if t])}))
+    # Every use of an exchange below keeps all of its columns, and no filter stands above one: only
+    # then do they come out equal and are written once.
     own = (
         split.select("block", key, F.explode_outer(F.array_distinct(F.split("pieces", _JOINT))).alias("piece"))
-        .where("piece <> ''")
         .join(F.broadcast(known), "piece", "left_anti")  # the vocabulary: a fixed size
         .groupBy("block", "piece").agg(F.min(key).alias("seen"))
+        .repartition("piece")
     )
-    distinct = own.groupBy("piece").agg(F.min("seen").alias("seen")).select("piece")
-    short = distinct.where(F.length("piece") <= fold_bytes).select("piece", _fold(vocabulary, "piece").alias("ids"))
-    long = distinct.where(F.length("piece") > fold_bytes).mapInArrow(_merge_long(vocabulary), "piece string, ids array<int>")
-    dictionary = own.join(short.unionAll(long), "piece").select(F.col("block").alias("of"), "piece", "ids", "seen")
-    assemble = _assemble(spark.sparkContext.broadcast(tokens), key)
+    folded = F.when((F.length("piece") > 1) & (F.length("piece") <= fold_bytes), _fold(vocabulary, "piece"))
+    distinct = own.groupBy(F.col("piece").alias("p")).agg(F.min("seen").alias("first_seen"), F.min("block").alias("first_block")).withColumnRenamed("p", "piece")
+    dictionary = own.join(distinct.withColumn("ids", folded), "piece").select(F.col("block").alias("of"), "piece", "ids", "seen", "first_seen", "first_block")
+    assemble = _assemble(spark.sparkContext.broadcast((tokens, vocabulary)), key)
     return split.groupBy("block").cogroup(dictionary.groupBy("of")).applyInArrow(assemble, f"{key} long, ids array<int>")
 
 
