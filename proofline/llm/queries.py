@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofline.llm import canonical, consensus, encode, language, mix, sentences, spans
+from proofline.llm import canonical, consensus, encode, language, mix, scans, sentences, spans
 from proofline.session import cut_lineage, table
 
 
@@ -40,6 +40,21 @@ def p3_canonical(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def _repaired(spark: SparkSession, d: str) -> DataFrame:
+    pages, supplements = table(spark, d, "pdf_pages"), table(spark, d, "parsed_tsv")
+    return scans.repair(scans.scanned_pages(pages, supplements), texts=pages.select("text").unionAll(supplements.select("text")))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    lines = _repaired(spark, d).select(F.col("record").alias("record_id"), F.explode("lines").alias("l"))
+    return lines.select("record_id", "l.line_no", "l.kind").distinct()
+
+
+def p4_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    rows = _repaired(spark, d).select(F.col("record").alias("record_id"), F.posexplode("paragraphs").alias("pos", "paragraph"))
+    return rows
+
+
 def _consensus(spark: SparkSession, d: str) -> consensus.Consensus:
     return consensus.consensus(consensus.valid_verdicts(table(spark, d, "reviews")))
 
@@ -103,7 +118,7 @@ def p9_languages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [p1_found, p1_spans, p1_without_repeats, p3_found, p3_canonical, p5_found, p5_agreement, p5_reviewers, p6_found, p6_sentences, p7_ids, p7_decoded, p8_shares, p8_mixture, p9_found, p9_languages]
+    own = [p1_found, p1_spans, p1_without_repeats, p3_found, p3_canonical, p4_found, p4_paragraphs, p5_found, p5_agreement, p5_reviewers, p6_found, p6_sentences, p7_ids, p7_decoded, p8_shares, p8_mixture, p9_found, p9_languages]
     return {f.__name__: f for f in own}
 
 
