@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from proofline.session import cut_lineage
+
 WORD_SHARE = 1e-5  # of all words: how often an ordinary word occurs at least
 LEAST_COUNT = 4
 PAIR_SHARE = 1e-5
@@ -79,7 +81,7 @@ def furniture(pages: DataFrame) -> DataFrame:
     lines = lines.withColumn("only", only).withColumn("core", core).withColumn("numbered", numbered)
     edge = (F.col("top") < 2) | (F.col("bottom") < 2)
     key = F.regexp_replace(_folded(F.col("core")), r"[^\p{L}]+", "")
-    lines = lines.withColumn("edge", edge).withColumn("key", key)
+    lines = cut_lineage(lines.withColumn("edge", edge).withColumn("key", key))  # read by all that follows
 
     # Words that are frequent in the corpus stay in a line's shape; all others are masked.
     words = lines.select("doc", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("core"), F.lit(r"\p{L}{2,}"), F.lit(0)))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
@@ -97,7 +99,7 @@ def furniture(pages: DataFrame) -> DataFrame:
             yield pa.record_batch([b.column("record"), b.column("line_no"), pa.array(out, pa.string())], schema=shape_schema)
 
     shaped = lines.select("record", "line_no", "core").mapInArrow(shapes, "record long, line_no int, shape string")
-    lines = lines.join(shaped, ["record", "line_no"])
+    lines = cut_lineage(lines.join(shaped, ["record", "line_no"]))
     outer = (F.col("top") < 1) | (F.col("bottom") < 2)
     by_shape = lines.where("shape <> ''").groupBy("shape").agg(F.count("*").alias("n"), F.count_if(outer).alias("edges"), F.count_if(F.col("edge") & ~(outer)).alias("second")).where((F.col("n") >= F.greatest(F.lit(3.0), F.lit(total * SHAPE_SHARE))) & ((F.col("edges") + F.col("second")) >= 0.85 * F.col("n"))).select(F.col("shape"), F.lit(True).alias("typical"))
     by_shape = by_shape.where(F.length(F.regexp_replace("shape", r"[^\p{L}]|(?<!\p{L})x(?!\p{L})", "")) >= 2)
@@ -111,13 +113,13 @@ def furniture(pages: DataFrame) -> DataFrame:
     # Odd and even pages may have different headers: beside a page whose header is known, a short opening
     # line without frequent words, number or stop is one as well, but for a document's first page.
     plain = (F.length("bare") < 60) & F.col("core").rlike(r"^\p{Lu}[^.!?;:,।。]*$") & ~F.col("shape").rlike(r"[\p{L}]{2,}") & ~F.col("core").rlike(r"[0-9] ?(?:\p{L}{1,3}[²³]?|%|°C|g/L)$")
-    marks = judged.select("doc", "page", "record", "line_no", "top", "bottom", hit.alias("hit"), F.coalesce(plain, F.lit(False)).alias("plain"))
+    marks = judged.select("doc", "page", "record", "only", "numbered", F.regexp_replace(F.lower("bare"), "[0-9]+|\\b[ivxlc]+\\b", "#").alias("style"), "line_no", "top", "bottom", hit.alias("hit"), F.coalesce(plain, F.lit(False)).alias("plain"))
     heads = marks.where("hit and top = 0").groupBy("doc").agg(F.count_distinct("record").alias("headed")).select("doc", "headed")
     firsts = pages.groupBy("doc").agg(F.min("page").alias("first_page"))
     marks = marks.join(heads, "doc", "left").join(firsts, "doc").withColumn("hit", F.col("hit") | (F.col("plain") & (F.col("top") == 0) & (F.col("page") > F.col("first_page")) & F.col("headed").isNotNull()))
     # A page has one number.  Of several lines that could be it, the style most pages of the document use
     # counts, then one with more than the bare digits, then the outermost.
-    marks = marks.join(lines.select("record", "line_no", "only", "numbered", F.regexp_replace(F.lower("bare"), "[0-9]+|\\b[ivxlc]+\\b", "#").alias("style")), ["record", "line_no"])
+    marks = cut_lineage(marks)
     number = F.col("only") | F.col("numbered")
     style = F.when(F.col("only"), F.col("style")).otherwise(F.lit("beside"))
     numbers = marks.where(F.col("hit") & number).withColumn("style", style)
