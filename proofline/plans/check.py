@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from proofline.operators import legs as L
 from proofline.operators import rules as R
 from proofline.operators.corpus import Corpus
+from proofline.session import cut_lineage
 from proofline.sources.config import Config
 
 
@@ -67,7 +68,7 @@ def check(c: Corpus, cfg: Config | None = None, require_review: bool = False, pa
     """All rules over all summaries.  A summary without evidence has that one issue only."""
     cfg = cfg or Config()
     resolved, source_issues = R.resolved_sources(c, cfg)
-    found = R.resolve_locators(c, cfg, resolved)
+    found = cut_lineage(R.resolve_locators(c, cfg, resolved))  # texts are normalised once, all rules read the counts
     legs = L.claim_legs(c, cfg, found)
     parts = [R.structure_issues(c, cfg), source_issues, R.locator_issues(found, cfg), *R.coverage_issues(c, cfg), *R.weak_issues(found, cfg), *L.single_leg_issues(legs, cfg), R.review_issues(c, cfg, require_review)]
     if parse_issues is not None:
