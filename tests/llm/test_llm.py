@@ -124,8 +124,8 @@ def test_labels_and_nulls(spark):
 def test_scans(spark):
     names = ["umbel", "vorda", "kazir", "petol", "ganim", "lusor", "hefra", "miqua", "dobex"]
     body = ["We found that the sample reduced the salt fraction", "of the outer shell beneath the insulation during the", "night shift, while the low-", "frequency response followed the mea-", "sured drift at 12.5 mm."]
-    pages = [("d", i, i, "\n".join(["Ras and Kra   " + str(i), names[i] + " opens here", *body, "and ended with " + names[i] + ".", "Acta Notes, vol. 3"])) for i in range(1, 9)]
-    broken = ["zirbo opens here", "We f0und that the sarnple reduced the salt fraction", *body[1:4], "sured drift at l2.5 mm.", "and ended with zirbo."]
+    pages = [("d", i, i, "\n".join(["Ras and Kra   " + str(i), " ".join(names[: i + 1]) + " opens here", *body, "and " + " ".join(names[: i + 1]) + " ended.", "Acta Notes, vol. 3"])) for i in range(1, 9)]
+    broken = ["umbel vorda kazir petol ganim lusor hefra miqua dobex tyrun opens here", "We f0und that the sarnple reduced the salt fraction", *body[1:4], "sured drift at l2.5 mm.", "and umbel vorda kazir petol ganim lusor hefra miqua dobex tyrun ended."]
     pages += [("d", 9, 9, "\n".join(["Ras and Kra   9", *broken, "Acta Notes, vol. 3"])), ("e", 20, 1, ""), ("e", 21, 1, None), ("e", 22, 2, "\n \n")]
     plain = [("p", 100 + i, i, "the low-frequency response found sample measured") for i in range(6)]
     df = spark.createDataFrame(pages, "doc string, record long, page int, text string")
@@ -133,5 +133,5 @@ def test_scans(spark):
     rows = {r["record"]: r for r in scans.repair(df.where("text is not null"), texts=texts).collect()}
     kinds = sorted((x["line_no"], x["kind"]) for x in rows[9]["lines"])
     assert kinds == [(1, "furniture"), (3, "misread"), (6, "hyphen"), (7, "misread"), (9, "furniture")]
-    assert "zirbo opens here We found that the sample reduced" in rows[9]["paragraphs"][0] and "measured drift at 12.5 mm." in rows[9]["paragraphs"][0]
+    assert "tyrun opens here We found that the sample reduced" in rows[9]["paragraphs"][0] and "measured drift at 12.5 mm." in rows[9]["paragraphs"][0]
     assert rows[20]["lines"] == [] and rows[22]["paragraphs"] == []
