@@ -209,8 +209,8 @@ def pieces(text: str, vocabulary: Vocabulary) -> Column:
     return F.ltrim(joined, F.lit(_JOINT))
 
 
-def _assemble(tokens, key: str):
-    schema = pa.schema([(key, pa.int64()), ("ids", pa.list_(pa.int32()))])
+def _assemble(tokens, key: str, keep: tuple[str, ...]):
+    schema = pa.schema([(key, pa.int64()), ("ids", pa.list_(pa.int32())), *[(c, pa.string()) for c in keep]])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         known, vocabulary = tokens.value
@@ -236,41 +236,42 @@ def _assemble(tokens, key: str):
         flat = values[np.repeat(begins[at] - (ends - long), long) + np.arange(total)]
         edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
         made = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(flat, pa.int32()))
-        return pa.table([left.column(key), made], schema=schema)
+        return pa.table([left.column(key), made, *[left.column(c) for c in keep]], schema=schema)
 
     return run
 
 
-def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, fold_bytes: int = 96) -> DataFrame:
+def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, fold_bytes: int = 96, keep: tuple[str, ...] = ()) -> DataFrame:
     """(``key``, ids): the token ids of every text, one row per row of ``docs``, without special tokens.
 
     A null and an empty text have no ids (an empty array).  Strings of special tokens are ordinary
-    text.  ``key`` is a long column; null and repeated keys are allowed, other columns are ignored.
+    text.  ``key`` is a long column; null and repeated keys are allowed.  String columns named in
+    ``keep`` come along, other columns are ignored.
     Pieces of more than ``fold_bytes`` bytes, which runs without blanks or letters may form, are merged
     with a heap instead of the fold, for the fold's cost grows with the square of the length.
     """
     spark = docs.sparkSession
     vocabulary = load_vocabulary(path or default_vocabulary())
-    source = docs.select(F.col(key).alias(key), F.col(text).alias("text"))
+    source = docs.select(F.col(key).alias(key), F.col(text).alias("text"), *keep)
     chars = source.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, round(chars / BLOCK_CHARS))
     block = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
-    split = source.select(block.alias("block"), key, pieces("text", vocabulary).alias("pieces")).repartition("block")
+    split = source.select(block.alias("block"), key, pieces("text", vocabulary).alias("pieces"), *keep).repartition("block")
     tokens = pa.array(vocabulary.tokens, pa.string())
     known = spark.createDataFrame(pa.table({"piece": pa.array([t for t in vocabulary.tokens if t])}))
     # Every use of an exchange below keeps all of its columns, and no filter stands above one: only
     # then do they come out equal and are written once.
     own = (
-        split.select("block", key, F.explode_outer(F.array_distinct(F.split("pieces", _JOINT))).alias("piece"))
+        split.select("block", key, F.explode_outer(F.array_distinct(F.split("pieces", _JOINT))).alias("piece"), *keep)
         .join(F.broadcast(known), "piece", "left_anti")  # the vocabulary: a fixed size
-        .groupBy("block", "piece").agg(F.min(key).alias("seen"))
+        .groupBy("block", "piece").agg(F.min(key).alias("seen"), *[F.min(c).alias(f"kept_{c}") for c in keep])
         .repartition("piece")
     )
     folded = F.when((F.length("piece") > 1) & (F.length("piece") <= fold_bytes), _fold(vocabulary, "piece"))
-    distinct = own.groupBy(F.col("piece").alias("p")).agg(F.min("seen").alias("first_seen"), F.min("block").alias("first_block")).withColumnRenamed("p", "piece")
-    dictionary = own.join(distinct.withColumn("ids", folded), "piece").select(F.col("block").alias("of"), "piece", "ids", "seen", "first_seen", "first_block")
-    assemble = _assemble(spark.sparkContext.broadcast((tokens, vocabulary)), key)
-    return split.groupBy("block").cogroup(dictionary.groupBy("of")).applyInArrow(assemble, f"{key} long, ids array<int>")
+    distinct = own.groupBy(F.col("piece").alias("p")).agg(F.min("seen").alias("first_seen"), F.min("block").alias("first_block"), *[F.min(f"kept_{c}").alias(f"first_{c}") for c in keep]).withColumnRenamed("p", "piece")
+    dictionary = own.join(distinct.withColumn("ids", folded), "piece").select(F.col("block").alias("of"), "piece", "ids", "seen", "first_seen", "first_block", *[f"kept_{c}" for c in keep], *[f"first_{c}" for c in keep])
+    assemble = _assemble(spark.sparkContext.broadcast((tokens, vocabulary)), key, keep)
+    return split.groupBy("block").cogroup(dictionary.groupBy("of")).applyInArrow(assemble, ", ".join([f"{key} long, ids array<int>", *[f"{c} string" for c in keep]]))
 
 
 def decode(ids: Column | str, path: str | None = None) -> Column:

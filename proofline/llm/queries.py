@@ -90,9 +90,8 @@ def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, d, "documents")
-    sizes = encode.encode(docs).select("doc_id", F.size("ids").alias("size"))
-    sized = cut_lineage(docs.select("doc_id", "source").join(sizes, "doc_id"))
+    encoded = encode.encode(table(spark, d, "documents"), keep=("source",))
+    sized = cut_lineage(encoded.select("doc_id", "source", F.size("ids").alias("size")))
     return mix.mix(sized, table(spark, d, "mix_targets"))
 
 
