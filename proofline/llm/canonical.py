@@ -123,8 +123,8 @@ def hidden_matches(locators: DataFrame, units: DataFrame, pages: DataFrame) -> D
     Result: locator_id, side ('unit' or 'page').  Side 'unit' looks in the unit at (id, kind, line,
     col), side 'page' in the native page at (id, page).  Where several texts answer to one citation, a
     literal that one of them holds as stored is no case.  Locators without the citation, without the
-    cited text, or with a null or empty literal give no row.  Only texts that lack the literal as
-    stored are normalised.
+    cited text, or with a null or empty literal give no row.  Spark may move the canonical form
+    below the join and then takes it of every text of the tables, once each.
     """
     want = locators.where("exact is not null and exact <> ''")
     unit_side = want.where("markdown is not null").select("locator_id", "exact", "id", F.col("markdown.unit").alias("kind"), F.col("markdown.line").cast("int").alias("line"), F.col("markdown.col").cast("int").alias("col"))
