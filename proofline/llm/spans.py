@@ -12,6 +12,7 @@ each other with their surroundings, and the true extent of the run is compared c
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -164,31 +165,82 @@ def shared_runs(records: DataFrame, least: int = 150) -> DataFrame:
     )
 
 
-def _merged(runs: DataFrame) -> DataFrame:
-    """Union of overlapping or touching [start, stop) stretches per record."""
-    before = "partition by record order by start, stop rows between unbounded preceding and 1 preceding"
-    return (
-        runs.selectExpr("*", f"max(stop) over ({before}) as reach")
-        .selectExpr("*", "sum(case when reach is null or start > reach then 1 else 0 end) over (partition by record order by start, stop) as part")
-        .groupBy("record", "part")
-        .agg(F.min("start").alias("start_char"), F.max("stop").alias("end_char"), F.min("first").alias("first"))
-        .drop("part")
-    )
+def _covered(stretches: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Disjoint (start, stop, rank) in order: the least rank of the stretches over every place, equal neighbours as one."""
+    out: list[tuple[int, int, int]] = []
+    active: list[tuple[int, int]] = []  # heap of (rank, stop)
+    i, at, n = 0, 0, len(stretches)
+    stretches = sorted(stretches)
+    while i < n or active:
+        if not active:
+            at = max(at, stretches[i][0])
+        while i < n and stretches[i][0] <= at:
+            heapq.heappush(active, (stretches[i][2], stretches[i][1]))
+            i += 1
+        while active and active[0][1] <= at:
+            heapq.heappop(active)
+        if not active:
+            continue
+        rank, stop = active[0]
+        if i < n:
+            stop = min(stop, stretches[i][0])
+        if out and out[-1][1] == at and out[-1][2] == rank:
+            out[-1] = (out[-1][0], stop, rank)
+        else:
+            out.append((at, stop, rank))
+        at = stop
+    return out
+
+
+def _spans_of(record: int, stretches: list[tuple[int, int, int]], least: int) -> list[tuple[int, int, int]]:
+    """(start, stop, first) of one record: the places of its stretches (start, stop, first), each with its earliest holder.
+
+    What recurs is a passage of ``least`` characters, so holders are told by passage: a place belongs to the record
+    itself if any passage over it occurs here first, also where its other passages occur earlier elsewhere.
+    """
+    passages = _covered([(a, b - least + 1, first) for a, b, first in stretches])
+    own = -1  # ranks before all others
+    spans = _covered([(a, b + least - 1, own if first == record else first) for a, b, first in passages])
+    return [(a, b, record if first == own else first) for a, b, first in spans]
+
+
+def _held(least: int):
+    schema = pa.schema([("record", pa.int64()), ("start_char", pa.int32()), ("end_char", pa.int32()), ("first_record", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[int, int, int, int]] = []
+        current, stretches = None, []
+        for batch in batches:
+            for record, start, stop, first in zip(*(batch.column(c).to_pylist() for c in ("record", "start", "stop", "first"))):
+                if record != current and stretches:
+                    rows += [(current, *s) for s in _spans_of(current, stretches, least)]
+                    stretches = []
+                current = record
+                stretches.append((start, stop, first))
+            if rows:
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                rows = []
+        if stretches:
+            rows = [(current, *s) for s in _spans_of(current, stretches, least)]
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    return run
 
 
 def shared_spans(records: DataFrame, least: int = 150) -> DataFrame:
     """For every record the spans it shares and how much of it they are.
 
     One row per record and span: record, start_char, end_char (0-based, end excluded, in the stored
-    text), first_record (the lowest record number among those that hold a part of the span, itself
+    text), first_record (the lowest record number among those that hold the passages of the span, itself
     included), kept (this record is that first one), shared_chars and shared_share of the whole
-    record.  Records that share nothing have one row with a null span and shared_chars 0; the share of
+    record.  Spans of different holders touch and do not overlap.  Records that share nothing have one row with a null span and shared_chars 0; the share of
     a null or empty text is 0.
     """
     runs = shared_runs(records, least)
     sides = runs.select("record_a", "record_b", F.explode(F.array(F.struct(F.col("record_a").alias("record"), F.col("start_a").alias("start")), F.struct(F.col("record_b").alias("record"), F.col("start_b").alias("start")))).alias("s"), "size")
     stretches = sides.select("s.record", "s.start", (F.col("s.start") + F.col("size")).alias("stop"), F.col("record_a").alias("first")).groupBy("record", "start", "stop").agg(F.min("first").alias("first"))
-    spans = _merged(stretches).withColumnRenamed("first", "first_record").withColumn("kept", F.col("first_record") == F.col("record"))
+    ordered = stretches.repartition("record").sortWithinPartitions("record", "start", "stop")
+    spans = ordered.mapInArrow(_held(least), "record long, start_char int, end_char int, first_record long").withColumn("kept", F.col("first_record") == F.col("record"))
     total = spans.groupBy("record").agg(F.sum(F.col("end_char") - F.col("start_char")).alias("shared_chars"))
     sizes = records.select("record", F.coalesce(F.length("text"), F.lit(0)).alias("chars")).dropDuplicates(["record"])
     return (
@@ -201,6 +253,8 @@ def shared_spans(records: DataFrame, least: int = 150) -> DataFrame:
 def remove_repeats(records: DataFrame, least: int = 150) -> DataFrame:
     """Texts with every shared span taken out but in the record where it occurs first.
 
+    Every passage of ``least`` characters that recurs is left whole in the first record that holds it.
+
     Result: record, text (what is left), cuts: array of (start_char, end_char) in the original text.
     Null texts stay null.
     """

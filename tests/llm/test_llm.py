@@ -31,6 +31,24 @@ def test_shared_spans_and_removal(spark):
     assert spans.shared_spans(df.limit(0), 60).isEmpty()
 
 
+def test_recurring_passages_stay_in_their_first_record(spark):
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    a, b, c = word(100), word(120), word(90)
+    rows = [(1, "a", word(20) + a), (3, "b", a + b + word(9)), (5, "c", word(30) + b), (6, "d", a[40:] + b[:50]), (7, "e", b[60:] + c), (8, "f", c + word(40) + a), (9, "g", b[80:] + c + a[:30])]
+    df = spark.createDataFrame(rows, "record long, owner string, text string")
+    left = {r["record"]: r["text"] for r in spans.remove_repeats(df, 60).collect()}
+    first = {}
+    for i, _, t in rows:
+        for g in {t[x : x + 60] for x in range(len(t) - 59)}:
+            first.setdefault(g, []).append(i)
+    recurring = {g: held for g, held in first.items() if len(held) > 1}
+    assert len(recurring) > 100 and all(g in left[held[0]] for g, held in recurring.items())
+    assert b in left[3] and b not in left[5] and a not in left[3]
+    for r in spans.shared_spans(df, 60).where("start_char is not null").collect():
+        assert r["kept"] == (r["first_record"] == r["record"])
+
+
 def test_canonical_text():
     same = [("ｌｏｇ", "log"), ("café", "café"), ("a​b", "ab"), ("a  b ", "a b"), ("рауѕе", "paуѕe"), ("ﬁne", "fine"), ("Ω", "Ω"), ("co‑op", "co-op"), ("が", "が"), ("“x”", '"x"'), ("е́", "é")]
     for a, b in same:
