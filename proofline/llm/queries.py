@@ -42,7 +42,8 @@ def p3_canonical(spark: SparkSession, d: str) -> DataFrame:
 
 def _repaired(spark: SparkSession, d: str) -> DataFrame:
     pages, supplements = table(spark, d, "pdf_pages"), table(spark, d, "parsed_tsv")
-    return scans.repair(scans.scanned_pages(pages, supplements), texts=pages.select("text").unionAll(supplements.select("text")))
+    texts = pages.select("text", (F.col("backend") != "tesseract-ocr").alias("native")).unionAll(supplements.select("text", F.lit(False).alias("native")))
+    return scans.repair(scans.scanned_pages(pages, supplements), texts=texts)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Lines are rows.  Furniture is told by position and recurrence: page numbers, lines that recur at the
 edge of several pages of a document, and line shapes that the corpus has at page edges only.  Words are
-judged by a lexicon of the corpus' frequent words.  A symmetric-delete index over the lexicon (every
+judged by a lexicon of the corpus' frequent words, without the forms that are frequent only as misread
+from far more frequent words: those that recognised text has and native text lacks.  A symmetric-delete index over the lexicon (every
 word under all forms with up to two characters left out) finds candidates for an unknown word; a
 weighted edit distance in which pairs of confusable shapes are cheap decides, and the counts of the
 word before it choose among equals.  All counts are over all pages; lexicon, word pairs and shapes are
@@ -27,6 +28,8 @@ WORD_SHARE = 1e-5  # of all words: how often an ordinary word occurs at least
 LEAST_COUNT = 4
 PAIR_SHARE = 1e-5
 SHAPE_SHARE = 1e-4  # of all lines
+MISREAD_TIMES = 20  # how many times more frequent a word is than the form it is misread to
+_BLIND_TIMES = 50  # the same where native text is too little to tell whether the form is written at all
 
 # Shapes that recognition takes for each other, written form and what was meant.
 CONFUSIONS = [
@@ -218,13 +221,15 @@ _COUNTS = pa.schema([("kind", pa.string()), ("a", pa.string()), ("b", pa.string(
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts: Counter = Counter()
-        for text in batch.column("text").to_pylist():
+        for text, native in zip(batch.column("text").to_pylist(), batch.column("native").to_pylist()):
             for line in (text or "").split("\n"):
                 before = ""
                 for token in _TOKEN.findall(line):
                     bare = token.strip("()[]\"“”„«»'.,;:!?…।。").lower()
                     if bare.isalpha():
                         counts["word", bare, ""] += 1
+                        if native:
+                            counts["native", bare, ""] += 1
                         if before:
                             counts["pair", before, bare] += 1
                         before = bare
@@ -234,20 +239,56 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                             counts["compound", bare, ""] += 1
                             for p in bare.split("-"):
                                 counts["word", p, ""] += 1
+                                if native:
+                                    counts["native", p, ""] += 1
         rows = list(counts.items())
         yield pa.record_batch([pa.array([k[i] for k, _ in rows], pa.string()) for i in range(3)] + [pa.array([n for _, n in rows], pa.int64())], schema=_COUNTS)
 
 
+def misread_forms(words: dict[str, int], native: dict[str, int], native_total: int, total: int) -> set[str]:
+    """The forms among ``words`` that are misread from far more frequent ones.
+
+    ``native`` has the words' counts in text that was not recognised, the totals are of all words.  A form
+    that native text has at a tenth of its rate in recognised text or more is an ordinary word.
+    """
+    per_scanned = native_total / max(1, total - native_total)
+    times: dict[str, int] = {}  # of the forms in question
+    for w, n in words.items():
+        expected = (n - native.get(w, 0)) * per_scanned
+        if len(w) >= 3 and native.get(w, 0) < max(1.0, 0.1 * expected):
+            times[w] = MISREAD_TIMES if expected >= 3 else _BLIND_TIMES
+    index: dict[str, list[str]] = defaultdict(list)  # over these few only; all words are held against it
+    for w in times:
+        for d in _deletes(w, _reach(w)):
+            index[d].append(w)
+    meant: dict[str, list[str]] = defaultdict(list)
+    for v, n in words.items():
+        if len(v) < 3 or not index:
+            continue
+        near = {w for d in _deletes(v, _reach(v)) for w in index.get(d, ()) if abs(len(w) - len(v)) <= 2 and n >= times[w] * words[w]}
+        for w in near:
+            if distance(w, v) <= MOST_COST:
+                meant[w].append(v)
+    out: set[str] = set()
+    for w in sorted(meant, key=lambda w: -words[w]):
+        if any(v not in out for v in meant[w]):
+            out.add(w)
+    return out
+
+
 def learn_lexicon(texts: DataFrame) -> Lexicon:
-    """Lexicon of the ``text`` column of all pages."""
-    counts = texts.select("text").mapInArrow(_count_words, "kind string, a string, b string, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
+    """Lexicon of the ``text`` column of all pages; ``native``, if there is such a column, tells texts that were not recognised."""
+    native = F.coalesce("native", F.lit(False)) if "native" in texts.columns else F.lit(False)
+    counts = texts.select("text", native.alias("native")).mapInArrow(_count_words, "kind string, a string, b string, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
     counts = counts.persist()
     try:
         totals = {r["kind"]: r["n"] for r in counts.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
         out = Lexicon()
         need = max(LEAST_COUNT, totals.get("word", 0) * WORD_SHARE)
-        for r in counts.where((F.col("kind") == "word") & (F.col("n") >= need)).collect():
-            out.words[r["a"]] = r["n"]
+        sides = [F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(k) for k in ("word", "native")]
+        rows = counts.where("kind in ('word', 'native')").groupBy("a").agg(*sides).where(F.col("word") >= need).collect()
+        wrong = misread_forms({r["a"]: r["word"] for r in rows}, {r["a"]: r["native"] for r in rows}, totals.get("native", 0), totals.get("word", 0))
+        out.words = {r["a"]: r["word"] for r in rows if r["a"] not in wrong}
         for r in counts.where((F.col("kind") == "compound") & (F.col("n") >= max(2.0, totals.get("word", 0) * WORD_SHARE / 10))).collect():
             out.compounds[r["a"]] = r["n"]
         for r in counts.where((F.col("kind") == "pair") & (F.col("n") >= max(LEAST_COUNT, totals.get("pair", 0) * PAIR_SHARE))).collect():
@@ -407,8 +448,8 @@ def repair(pages: DataFrame, lexicon: Lexicon | None = None, texts: DataFrame |
 
     ``pages``: doc (string), record (long, one content), page (int), text.  ``lines`` has (line_no, kind), kind
     furniture, hyphen or misread, line_no from 1 over all lines; ``paragraphs`` are the repaired ones.
-    Null and blank texts have none of either.  ``texts`` (text) is what the lexicon is learned from, if
-    not the pages themselves.
+    Null and blank texts have none of either.  ``texts`` (text and, if known, native) is what the lexicon is
+    learned from, if not the pages themselves.
     """
     lexicon = lexicon or learn_lexicon(texts if texts is not None else pages)
     shared = pages.sparkSession.sparkContext.broadcast(lexicon)  # bounded by the shares

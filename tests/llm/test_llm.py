@@ -153,3 +153,16 @@ def test_scans(spark):
     assert kinds == [(1, "furniture"), (3, "misread"), (6, "hyphen"), (7, "misread"), (9, "furniture")]
     assert "tyrun opens here We found that the sample reduced" in rows[9]["paragraphs"][0] and "measured drift at 12.5 mm." in rows[9]["paragraphs"][0]
     assert rows[20]["lines"] == [] and rows[22]["paragraphs"] == []
+
+
+def test_frequent_misreads_are_no_words(spark):
+    native = [("the rate held within the hours of a low law", True)] * 150
+    scanned = [("the rate held within the hours of a low law", False)] * 150 + [("it held wlthin two hoiirs here", False)] * 6
+    lexicon = scans.learn_lexicon(spark.createDataFrame(native + scanned, "text string, native boolean"))
+    assert {"within", "hours", "low", "law"} <= set(lexicon.words) and not {"wlthin", "hoiirs"} & set(lexicon.words)
+    found, paragraphs = scans.judge_page("it held wlthin two hoiirs here\nand a law of the low rate", set(), lexicon.built())
+    assert (1, "misread") in found and paragraphs[0].startswith("it held within two hours here")
+    # a form that native text has is a word, however much more frequent its neighbour; little text decides nothing
+    many = {"low": 4000, "law": 60, "lew": 60}
+    assert scans.misread_forms(many, {"low": 2000, "law": 30}, 50_000, 100_000) == {"lew"}
+    assert scans.misread_forms({"low": 400, "law": 10}, {}, 0, 1000) == set()
