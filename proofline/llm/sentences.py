@@ -2,8 +2,9 @@
 
 What marks a sentence's end is learned from the corpus itself, per language, without labels:
 abbreviations by a log-likelihood ratio of a word with and without its period and by what follows it,
-sentence starters from the words that open a text, and abbreviations that may end a sentence from the
-starters behind them.  Every mark is then classified with these statistics, with decimals, brackets and
+sentence starters from the words that open a text, abbreviations that may end a sentence from the
+starters behind them, and collocations across a period (a whole number and the word behind it)
+by a log-likelihood ratio against what stands behind other periods.  Every mark is then classified with these statistics, with decimals, brackets and
 quotations taken into account.  Where a script marks no ends (Thai), the blanks are the candidates: a
 mixture over what stands before and behind a blank, anchored at the known starts and ends of texts, is
 fitted by expectation-maximisation on the corpus' table of such pairs.
@@ -23,13 +24,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofline.llm.canonical import canonical_text
 
 SHARE = 1e-5
 _LONGEST = 24  # letters of a type that is counted
+_SIGNIFICANT = 7.88  # log-likelihood ratio beyond which chance is ruled out at 0.5 %
+_LIFT = 10  # with enough text any difference is significant: how many times as often a collocation's word is there at least
 _QUOTE_REACH = 600  # a quotation that does not close within so many characters is none
 
 # Function words that tell languages of Latin script apart.
@@ -106,10 +109,11 @@ def _kind(token: str) -> str:
 
 @dataclass
 class Statistics:
-    """What was learned: per language (and script group) the abbreviations, which of them may end a sentence, and the starters."""
+    """What was learned: per language (and script group) the abbreviations, which of them may end a sentence, the starters, and the words that belong to a number before a period."""
 
     abbreviations: dict[str, dict[str, bool]] = field(default_factory=dict)
     starters: dict[str, set[str]] = field(default_factory=dict)
+    collocations: dict[str, set[str]] = field(default_factory=dict)
     gaps: dict[tuple[str, str, str], bool] = field(default_factory=dict)
     before: dict[str, set[str]] = field(default_factory=dict)
     behind: dict[str, set[str]] = field(default_factory=dict)
@@ -124,6 +128,9 @@ class Statistics:
     def starter(self, word: str, groups: tuple[str, str]) -> bool:
         return any(word in self.starters.get(g, ()) for g in groups)
 
+    def collocation(self, word: str, behind: str, groups: tuple[str, str]) -> bool:
+        return bool(re.fullmatch("[0-9]+", word)) and any(behind in self.collocations.get(g, ()) for g in groups)
+
 
 # --- scripts without marks: what stands before and behind a blank -------------------------------
 
@@ -229,7 +236,7 @@ def _learned(counts: DataFrame) -> Statistics:
         if r["start"] > 1:
             expected = (r["period"] + r["plain"]) / max(1, n_all)
             n_start = totals[g, "start"]
-            if r["start"] / n_start > 2 * expected and _log_likelihood(n_start, min(r["start"], n_start - 1) or 1, min(max(expected, 1e-9), 0.99), min(r["start"] / n_start, 0.99)) > 7.88:
+            if r["start"] / n_start > 2 * expected and _log_likelihood(n_start, min(r["start"], n_start - 1) or 1, min(max(expected, 1e-9), 0.99), min(r["start"] / n_start, 0.99)) > _SIGNIFICANT:
                 out.starters.setdefault(g, set()).add(w.rstrip("."))
         k, n = r["period"], r["period"] + r["plain"]
         if k > 1 and not w[-1:].isdigit() and not re.search(r"\d", w):
@@ -249,10 +256,34 @@ def _learned(counts: DataFrame) -> Statistics:
         pairs = counts.where("kind = 'pair'").join(a, ["lang", "a"]).join(b, ["lang", "b"], "left")
         for r in pairs.groupBy("lang", "a").agg(F.sum(F.coalesce("opens", F.lit(0)) * F.col("n")).alias("open"), F.sum("n").alias("n")).collect():
             out.abbreviations[r["lang"]][r["a"]] = r["open"] >= 0.5 * r["n"]
+    _learn_collocations(out, counts, words, totals, share)
     _fit_gaps(out, counts)
     return out
 
 
+def _learn_collocations(out: Statistics, counts: DataFrame, words: DataFrame, totals: dict[tuple[str, str], int], share: Column) -> None:
+    """Words that belong to the whole number before a period; all whole numbers are one type.
+
+    Such a word follows numbers far more often than it follows other periods and than it occurs at all.  Copies of
+    one text are no evidence: a word must be seen behind two different numbers.
+    """
+    pairs = counts.where("kind = 'pair' and b <> ''").withColumn("number", F.col("a").rlike("^[0-9]+$"))
+    sides = {(r["lang"], r["number"]): r["n"] for r in pairs.groupBy("lang", "number").agg(F.sum("n").alias("n")).collect()}  # two rows per language
+    behind = pairs.where("not number").groupBy("lang", "b").agg(F.sum("n").alias("elsewhere"))
+    seen = words.select("lang", F.col("a").alias("b"), (F.col("period") + F.col("plain")).alias("seen"))
+    rows = (
+        pairs.where("number").groupBy("lang", "b").agg(F.sum("n").alias("n"), F.count("*").alias("numbers"))
+        .where("numbers > 1").where(F.col("n") > F.coalesce(F.element_at(share, "lang"), F.lit(0.0)))
+        .join(behind, ["lang", "b"], "left").join(seen, ["lang", "b"], "left").collect()
+    )  # at most 1 / SHARE rows per language
+    for r in rows:
+        g, k, n = r["lang"], r["n"], sides[r["lang"], True]
+        n_all = totals.get((g, "period"), 0) + totals.get((g, "plain"), 0)
+        p0 = max((r["elsewhere"] or 0) / max(1, sides.get((g, False), 0)), max(0, (r["seen"] or 0) - k) / max(1, n_all - n), 1e-6)
+        if k / n > _LIFT * p0 and _log_likelihood(n, k, min(p0, 0.98), min(k / n, 0.99)) > _SIGNIFICANT:
+            out.collocations.setdefault(g, set()).add(r["b"])
+
+
 def _fit_gaps(out: Statistics, counts: DataFrame) -> None:
     """Which blanks of unmarked scripts are boundaries, by EM over the table of what stands before and behind."""
     table = counts.where("kind in ('edge', 'gap')")
@@ -402,6 +433,8 @@ def boundaries(text: str, stats: Statistics) -> list[int]:
             elif ends is not None:
                 if kind in ("digit", "other") or not (ends or (opens and kind != "quote")):
                     continue
+            elif kind == "upper" and not opens and stats.collocation(previous, word, groups):
+                continue
             elif kind == "other" and not first.isalpha() and first not in "\"«“„「¿¡([（+-−":
                 continue
         if not out or k > out[-1]:

@@ -166,3 +166,15 @@ def test_frequent_misreads_are_no_words(spark):
     many = {"low": 4000, "law": 60, "lew": 60}
     assert scans.misread_forms(many, {"low": 2000, "law": 30}, 50_000, 100_000) == {"lew"}
     assert scans.misread_forms({"low": 400, "law": 10}, {}, 0, 1000) == set()
+
+
+def test_numbers_and_words_across_a_period(spark):
+    plain = ["Die Probe hielt bei der Pumpe auf Stufe %d. Neustart der Pumpe nach der Schicht. Neustart mit der Probe. Die Schicht kam.", "Der Wert fiel am %d. Mai. Die Pumpe hielt.", "Die Pumpe stand im Mai nicht still. Der Wert fiel."]
+    train = [t % i if "%d" in t else t for i in range(1, 25) for t in plain]
+    once = ["Das Ventil hielt auf Stufe 77. Korvane stieg unter der Pumpe."] * 4  # copies: one number only
+    df = spark.createDataFrame([(i, t, True) for i, t in enumerate(train + once)], "record long, text string, whole boolean")
+    stats = sentences.learn(df)
+    cut = lambda t: [t[a:b] for a, b in sentences.split_text(t, stats)]
+    assert cut("Der Wert fiel am 6. Mai. Die Pumpe hielt.") == ["Der Wert fiel am 6. Mai.", "Die Pumpe hielt."]
+    assert cut("Die Probe hielt auf Stufe 6. Neustart der Pumpe.") == ["Die Probe hielt auf Stufe 6.", "Neustart der Pumpe."]
+    assert cut(once[0]) == ["Das Ventil hielt auf Stufe 77.", "Korvane stieg unter der Pumpe."]
