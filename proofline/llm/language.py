@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE_PER_LANGUAGE = 120  # labelled documents that the field is fitted on, per language
@@ -221,17 +221,20 @@ def fit(sample: Sequence[tuple[str, str]], languages: Sequence[str]) -> Field:
 
 
 def train(docs: DataFrame, codes: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Field:
-    """Fit the field on at most ``per_language`` labelled documents of each language, drawn by a hash of their text."""
+    """Fit the field on at most ``per_language`` different labelled texts of each language, those of the least hashes."""
     labelled = docs.select("text", label_code(F.col("lang"), codes).alias("code")).where(f"code is not null and length(trim(text)) > 20 and length(text) <= {SAMPLE_CHARS}")
-    counts = {r["code"]: r["n"] for r in labelled.groupBy("code").agg(F.count("*").alias("n")).collect()}
+    # Copies of a text count once; its hash stands for it until the sample is known.
+    hashes = labelled.select("code", F.xxhash64("text").alias("h")).distinct()
+    counts = {r["code"]: r["n"] for r in hashes.groupBy("code").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return Field([r["code"] for r in codes.select("code").where("code is not null").collect()], {}, np.zeros((0, codes.where("code is not null").count()), np.float32))
-    rate = F.element_at(F.create_map(*[x for c, n in counts.items() for x in (F.lit(c), F.lit(min(1.0, 1.3 * per_language / n)))]), F.col("code"))
-    drawn = labelled.where((F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)) < rate)
+    nth = F.row_number().over(Window.partitionBy("code").orderBy("h"))
+    drawn = hashes.withColumn("nth", nth).where(F.col("nth") <= per_language).select("code", "h")
+    rows = labelled.withColumn("h", F.xxhash64("text")).join(F.broadcast(drawn), ["code", "h"]).select("code", "text").distinct().collect()  # per_language a language
     sample: dict[str, list[str]] = {}
-    for r in drawn.limit(2 * per_language * len(counts)).collect():
+    for r in rows:
         sample.setdefault(r["code"], []).append(r["text"])
-    return fit([(t, c) for c, ts in sorted(sample.items()) for t in sorted(ts)[:per_language]], sorted(counts))
+    return fit([(t, c) for c, ts in sorted(sample.items()) for t in sorted(ts)], sorted(counts))
 
 
 class _Scorer:

@@ -178,3 +178,15 @@ def test_numbers_and_words_across_a_period(spark):
     assert cut("Der Wert fiel am 6. Mai. Die Pumpe hielt.") == ["Der Wert fiel am 6. Mai.", "Die Pumpe hielt."]
     assert cut("Die Probe hielt auf Stufe 6. Neustart der Pumpe.") == ["Die Probe hielt auf Stufe 6.", "Neustart der Pumpe."]
     assert cut(once[0]) == ["Das Ventil hielt auf Stufe 77.", "Korvane stieg unter der Pumpe."]
+
+
+def test_language_sample_counts_copies_once(spark, monkeypatch):
+    codes = spark.createDataFrame([("en", "English", "Latin"), ("nl", "Dutch", "Latin")], "code string, lang_name string, script string")
+    english = [f"The pump number {i} held at nine and the shell broke." for i in range(40)]
+    dutch = [f"De pomp nummer {i} bereikte de waarde en het monster brak." for i in range(40)]
+    docs = [(t, "en") for t in english] + [(english[0], "en")] * 400 + [(t, "nl") for t in dutch]
+    taken = []
+    monkeypatch.setattr(language, "fit", lambda rows, languages: taken.extend(rows) or languages)
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(docs)], "doc_id long, text string, lang string")
+    assert language.train(df, codes, 20) == ["en", "nl"]
+    assert len(taken) == len(set(taken)) == 40 and sum(c == "en" for _, c in taken) == 20
