@@ -4,6 +4,9 @@ Most text is already in that form.  Each text is scanned once for unstable chara
 the quick check of the form: they fold, compose with what stands before them, do not show, or are an
 unusual blank).  Only those segments, with the base character before them as context, are normalised;
 the results are spliced into the unchanged rest.
+
+There are two forms.  The readable one keeps words of another alphabet as they are and only mends words
+that mix alphabets; the key, made for comparing, folds every look-alike letter.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from __future__ import annotations
 import functools
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -28,6 +31,8 @@ DOUBLE_QUOTES = "“”„‟"
 SINGLE_QUOTES = "‘’‚‛"
 
 _LETTERS = str.maketrans(CYRILLIC[0] + GREEK[0], CYRILLIC[1] + GREEK[1])
+#: The look-alikes the other way round, for words of the other alphabet that hold Latin letters.
+_BACK = {alphabet: str.maketrans(*reversed(pair)) for alphabet, pair in (("CYRILLIC", CYRILLIC), ("GREEK", GREEK))}
 _SIGNS = str.maketrans(HYPHENS + DOUBLE_QUOTES + SINGLE_QUOTES, "-" * len(HYPHENS) + '"' * len(DOUBLE_QUOTES) + "'" * len(SINGLE_QUOTES))
 #: Blocks in which every character is stable on its own; left out of the scan below for speed.
 _UNIFORM = ((0x3400, 0x9FFF), (0xAC00, 0xD7A3), (0x20000, 0x2F7FF), (0x30000, 0xE0000), (0xE0200, 0x110000))
@@ -43,10 +48,10 @@ def _shows(char: str) -> bool:
 
 
 @functools.lru_cache(maxsize=1 << 16)
-def _normalise(segment: str) -> str:
-    """The whole form, for a segment that starts at a stable character."""
+def _normalise(segment: str, letters: bool = True) -> str:
+    """The whole form, for a segment that starts at a stable character; ``letters``: look-alike letters become Latin."""
     text = "".join(c if _raised(c) else unicodedata.normalize("NFKD", c) for c in segment if _shows(c))
-    text = "".join(c for c in text.translate(_LETTERS).translate(_SIGNS) if _shows(c))
+    text = "".join(c for c in (text.translate(_LETTERS) if letters else text).translate(_SIGNS) if _shows(c))
     text = unicodedata.normalize("NFC", text)
     return "".join(" " if c.isspace() or c == "\u0085" else c for c in text)
 
@@ -92,29 +97,64 @@ def canonical_text(text: str | None) -> str | None:
     return _BLANKS.sub(" ", text).strip(" ")
 
 
-def _canonical_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for texts in batches:
-        yield pd.Series([canonical_text(t) for t in texts], dtype=object)
+_OTHER_LETTERS = "\u0370-\u03ff\u0400-\u052f"
+_MIXED = re.compile(f"[^\\W\\d_]*(?:[A-Za-z][^\\W\\d_]*[{_OTHER_LETTERS}]|[{_OTHER_LETTERS}][^\\W\\d_]*[A-Za-z])[^\\W\\d_]*")
+
+
+def _one_alphabet(word: str) -> str:
+    """A word of mixed alphabets in one: that of its letters without a Latin look-alike, otherwise Latin."""
+    rest = [unicodedata.name(c, "").split(" ")[0] for c in word if not c.isascii() and ord(c) not in _LETTERS]
+    for alphabet, back in _BACK.items():
+        if alphabet in rest:
+            return word.translate(back)
+    return word.translate(_LETTERS)
+
+
+def readable_text(text: str | None) -> str | None:
+    """The form of ``text`` for reading: as the key, but words of one alphabet keep their letters."""
+    if text is None:
+        return None
+    if not text.isascii() or not text.isprintable():
+        text = _unstable().sub(lambda m: _normalise(m.group(), False), text)
+        text = _MIXED.sub(lambda m: _one_alphabet(m.group()), text)
+    return _BLANKS.sub(" ", text).strip(" ")
+
+
+def _batches_of(form: Callable[[str | None], str | None]):
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([form(t) for t in texts], dtype=object)
+
+    return run
 
 
 def canonical(text: Column | str) -> Column:
-    """Column of canonical texts.
+    """Column of canonical texts, the keys for comparing.
 
     Alike: all blanks (one space for a run, none at the ends), widths, ligatures, presentation forms,
     composed and decomposed accents, hyphens, straight and curved quotes, letters of Cyrillic and Greek
     shaped as Latin ones.  Characters that do not show are dropped.  Different: case, accents, raised
-    and plain digits, digits and letters, dashes and hyphens.  The form is idempotent.
+    and plain digits, digits and letters, dashes and hyphens.  The form is idempotent.  It is taken
+    where it stands: the optimizer may not move it below a join or a filter.
     """
-    return pandas_udf(_canonical_batches, T.StringType())(F.col(text) if isinstance(text, str) else text)
+    form = pandas_udf(_batches_of(canonical_text), T.StringType()).asNondeterministic()
+    return form(F.col(text) if isinstance(text, str) else text)
+
+
+def readable(text: Column | str) -> Column:
+    """Column of texts in the form for reading: as ``canonical``, but look-alike letters change only in words of mixed alphabets."""
+    return pandas_udf(_batches_of(readable_text), T.StringType())(F.col(text) if isinstance(text, str) else text)
 
 
 def canonical_columns(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(record, text, changed): the canonical form of every text of a table, repeated rows once.
+    """(record, text, key, changed): both forms of every text of a table, repeated rows once.
 
-    A key with several contents keeps each of them; ``changed`` is null for a null text.
+    ``text`` is the form for reading, ``key`` the one to compare by.  A record with several contents keeps
+    each of them; ``changed`` (text is not as stored) is null for a null text.
     """
     one = df.select(F.col(key).alias("record"), F.col(text).alias("stored")).distinct()
-    return one.withColumn("text", canonical("stored")).select("record", "text", (F.col("text") != F.col("stored")).alias("changed"))
+    forms = one.withColumns({"text": readable("stored"), "key": canonical("stored")})
+    return forms.select("record", "text", "key", (F.col("text") != F.col("stored")).alias("changed"))
 
 
 def hidden_matches(locators: DataFrame, units: DataFrame, pages: DataFrame) -> DataFrame:
@@ -123,8 +163,8 @@ def hidden_matches(locators: DataFrame, units: DataFrame, pages: DataFrame) -> D
     Result: locator_id, side ('unit' or 'page').  Side 'unit' looks in the unit at (id, kind, line,
     col), side 'page' in the native page at (id, page).  Where several texts answer to one citation, a
     literal that one of them holds as stored is no case.  Locators without the citation, without the
-    cited text, or with a null or empty literal give no row.  Spark may move the canonical form
-    below the join and then takes it of every text of the tables, once each.
+    cited text, or with a null or empty literal give no row.  Only the cited texts that lack the literal
+    as stored are put in canonical form.
     """
     want = locators.where("exact is not null and exact <> ''")
     unit_side = want.where("markdown is not null").select("locator_id", "exact", "id", F.col("markdown.unit").alias("kind"), F.col("markdown.line").cast("int").alias("line"), F.col("markdown.col").cast("int").alias("col"))
@@ -133,12 +173,8 @@ def hidden_matches(locators: DataFrame, units: DataFrame, pages: DataFrame) -> D
     native = pages.where("backend = 'mutool-native'").select("id", "page", "text")
     in_pages = page_side.join(native, ["id", "page"]).select("locator_id", F.lit("page").alias("side"), "exact", "text")
     cited = in_units.unionAll(in_pages).where("text is not null").withColumn("stored", F.contains("text", "exact"))
-    stored = cited.where("stored").select("locator_id", "side").distinct()
-    seen = (
-        cited.where("not stored")
-        .select("locator_id", "side", canonical("exact").alias("c_exact"), canonical("text").alias("c_text"))
-        .where("c_exact <> '' and contains(c_text, c_exact)")
-        .select("locator_id", "side")
-        .distinct()
-    )
-    return seen.join(stored, ["locator_id", "side"], "left_anti")
+    lacking = lambda c: F.when(~F.col("stored"), F.col(c))
+    forms = cited.select("locator_id", "side", "stored", canonical(lacking("exact")).alias("c_exact"), canonical(lacking("text")).alias("c_text"))
+    seen = F.coalesce((F.col("c_exact") != "") & F.contains("c_text", "c_exact"), F.lit(False))
+    sides = forms.groupBy("locator_id", "side").agg(F.max("stored").alias("stored"), F.max(seen).alias("seen"))
+    return sides.where("seen and not stored").select("locator_id", "side")
