@@ -102,9 +102,10 @@ def load_vocabulary(path: str) -> Vocabulary:
 
 @functools.lru_cache(maxsize=4)
 def _displaced(vocabulary: Vocabulary) -> tuple[list[int], list[int]]:
-    """(table, offsets): the merge of (left, right) lies at offsets[left] + right as left << 34 | rank << 17.
+    """(table, offsets): the merge of (left, right) lies at offsets[left] + right as left << 17 | rank.
 
-    The rows of the left tokens are laid over each other, the longest first, so that no two entries meet.
+    The rows of the left tokens are laid over each other, the longest first, so that no two entries meet;
+    places between them bear a token that begins no merge.
     """
     rows = defaultdict(list)
     for rank, (left, right) in enumerate(vocabulary.pairs):
@@ -112,7 +113,7 @@ def _displaced(vocabulary: Vocabulary) -> tuple[list[int], list[int]]:
     n = len(vocabulary.tokens)
     size = 8 * n
     free = np.ones(size, bool)
-    table = np.full(size, _LOW << 34, np.int64)  # no token has this id
+    table = np.full(size, next(i for i in range(n + 1) if i not in rows) << 17, np.int64)
     offsets = np.zeros(n + 1, np.int64)
     at, was = 0, 0
     for left, row in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
@@ -132,7 +133,7 @@ def _displaced(vocabulary: Vocabulary) -> tuple[list[int], list[int]]:
             at += 4096
         offsets[left] = places[0]
         free[places[0] + right] = False
-        table[places[0] + right] = left << 34 | rank << 17
+        table[places[0] + right] = left << 17 | rank
     return table[: int(offsets.max()) + n + 1].tolist(), offsets.tolist()
 
 
@@ -157,7 +158,7 @@ def _fold(vocabulary: Vocabulary, piece: str) -> Column:
     bytes_of = f"transform(split(concat(decode({piece}, 'ISO-8859-1'), '\\u0100'), ''), c -> ascii(c))"
     start = f"transform(array({bytes_of}), x -> transform(sequence(0, size(x) - 2), j -> t.p[x[j] * {size} + x[j + 1]]))[0]"
     # An entry of the table, less its own left token's bits, is the rank; an entry of another token stays above all ranks.
-    entry = lambda left, right: f"(t.c[t.o[{left}] + {right}] ^ shiftleft({left}, 34)) + {left}"
+    entry = lambda left, right: f"shiftleft(t.c[t.o[{left}] + {right}] ^ shiftleft({left}, 17), 17) + {left}"
     merged = f"coalesce({entry('w.m', f'(get(s, w.p + 1) & {_LOW}L)')}, {_NO_MERGE}L + w.m)"
     before = entry(f"(y & {_LOW}L)", "w.m")
     places = f"transform(s, (y, j) -> case when j > w.p then y when j = w.p then -1L when j = w.p - 1 then {merged} when j = w.p - 2 then {before} else y end)"
