@@ -54,6 +54,5 @@ def single_leg_issues(legs: DataFrame, cfg: Config) -> list[DataFrame]:
     severity = SEVERITIES.get(cfg.corroborate.single_leg)
     if severity is None:
         return []
-    said = F.when(F.size("legs") == 0, F.lit("no text")).otherwise(F.array_join("legs", ", "))
-    message = F.concat(F.format_string(f"{cfg.terms.claim} %d is confirmed by ", F.col("claim")), said, F.lit(" only"))
-    return [issues(legs.where("not corroborated"), "single_leg", ENTRY, 7, message, severity, entry=F.col("entry_ord"), locator=F.lit((1 << 31) - 1), claim=F.col("claim"))]
+    said = F.concat(F.format_string(f"{cfg.terms.claim} %d, confirmed by: ", F.col("claim")), F.when(F.size("legs") == 0, F.lit("none")).otherwise(F.array_join("legs", ", ")))
+    return [issues(legs.where("not corroborated"), "single_leg", ENTRY, 7, said, severity, entry=F.col("entry_ord"), locator=F.lit((1 << 31) - 1), claim=F.col("claim"))]

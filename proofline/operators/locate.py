@@ -4,24 +4,53 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofline.functions import text as T
+from proofline.functions.grams import chosen
 from proofline.functions.text import Normalization
 
-GRAM = 12  # characters of the window that literals and texts are joined on
-
-
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys, grams = [], []
-        for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
-            for g in {text[i : i + GRAM] for i in range(0, len(text) - GRAM + 1)}:
-                keys.append(key)
-                grams.append(g)
-        yield pa.record_batch([pa.array(keys, batch.schema.field("key").type), pa.array(grams, pa.string())], names=["key", "gram"])
+#: Grams by the length of a literal: (least length, characters of a gram, window of which one gram is taken).
+GRAMS = ((23, 12, 12), (8, 8, 1), *((n, n, 1) for n in range(7, 0, -1)))
+_CHUNK = 1 << 22  # characters hashed at once
+
+
+def _grams(k: int, window: int):
+    """Distinct chosen grams of every text that has at least one window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = k + window - 1
+        for batch in batches:
+            key = batch.column("key")
+            rows, parts, size = [], [], 0
+            for i, text in enumerate([*batch.column("text").to_pylist(), None]):
+                pieces = [] if text is None else [text[at : at + _CHUNK + least - 1] for at in range(0, len(text) - least + 1, _CHUNK)]
+                if parts and (text is None and i == batch.num_rows or size + sum(map(len, pieces[:1])) > _CHUNK):
+                    which, _, digest = chosen(parts, k, window)
+                    pairs = np.unique(np.stack([np.array(rows, np.int64)[which], digest]), axis=1)
+                    yield pa.record_batch([key.take(pa.array(pairs[0])), pa.array(pairs[1])], names=["key", "gram"])
+                    rows, parts, size = [], [], 0
+                for piece in pieces:
+                    rows.append(i)
+                    parts.append(piece)
+                    size += len(piece)
+
+    return run
+
+
+def _candidates(need: DataFrame, hay: DataFrame, k: int, window: int) -> DataFrame:
+    """(literal, needle, key): texts that share the rarest chosen gram of the literal."""
+    kind = lambda df: f"key {df.schema['key'].dataType.simpleString()}, gram long"
+    own = need.select(F.col("literal").alias("key"), F.col("needle").alias("text"))
+    grams = own.mapInArrow(_grams(k, window), kind(own)).withColumnRenamed("key", "literal")
+    at = hay.mapInArrow(_grams(k, window), kind(hay)).join(grams.select("gram").distinct(), "gram", "left_semi")
+    counts = at.groupBy("gram").agg(F.count("*").alias("n"))
+    # A gram that no text has leaves its literal without candidates.
+    rarest = grams.join(counts, "gram", "left").groupBy("literal").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).where("r.n > 0").select("literal", "r.gram")
+    return need.join(rarest, "literal").join(at, "gram").select("literal", "needle", "key").distinct()
 
 
 def within(literals: DataFrame, texts: DataFrame, by: list[str], options: Normalization = Normalization()) -> DataFrame:
@@ -37,24 +66,22 @@ def within(literals: DataFrame, texts: DataFrame, by: list[str], options: Normal
 def anywhere(literals: DataFrame, texts: DataFrame, options: Normalization = Normalization()) -> DataFrame:
     """(literal, key, hits) over all texts, without a common key and without a nested loop.
 
-    ``literals``: literal, exact; ``texts``: key, text.  A literal is joined by its first ``GRAM``
-    characters with the texts' windows, which keep only grams that some literal begins with; the test of
-    the whole literal follows.  Shorter literals are joined the same way on grams of their own length.
+    ``literals``: literal, exact; ``texts``: key, text.  Of every ``window`` consecutive character grams of
+    a text one is chosen by its hash, so a text that holds a literal has all of the literal's chosen grams.
+    A literal is joined by the rarest of them; the test of the whole literal follows.  Shorter literals
+    take shorter grams, each of which is chosen.
     """
     need = literals.select("literal", T.normalize("exact", options).alias("needle")).where("needle <> ''")
     hay = texts.select("key", T.normalize("text", options).alias("text")).where("text <> ''")
-    long = need.where(F.length("needle") >= GRAM).withColumn("gram", F.substring("needle", 1, GRAM))
-    starts = long.select("gram").distinct()
-    kind = f"key {texts.schema['key'].dataType.simpleString()}, gram string"
-    at = hay.mapInArrow(_grams, kind).join(starts, "gram", "left_semi")
-    pairs = long.join(at, "gram").select("literal", "needle", "key")
-    short = need.where(F.length("needle") < GRAM)
-    lengths = sorted(r["n"] for r in short.select(F.length("needle").alias("n")).distinct().collect())  # fewer than GRAM
-    if lengths:
-        sizes = ", ".join(map(str, lengths))
-        cut = f"array_distinct(flatten(transform(array({sizes}), n -> transform(sequence(1, greatest(length(text) - n + 1, 1)), i -> substring(text, i, n)))))"
-        grams = hay.select("key", F.explode(F.expr(cut)).alias("needle"))
-        pairs = pairs.unionByName(short.join(grams, "needle").select("literal", "needle", "key").distinct())
+    lengths = {r["n"] for r in need.select(F.least(F.length("needle"), F.lit(GRAMS[0][0])).alias("n")).distinct().collect()}  # at most 23 numbers
+    pairs, below = None, 1 << 31
+    for least, k, window in GRAMS:
+        if any(least <= n < below for n in lengths):
+            some = _candidates(need.where((F.length("needle") >= least) & (F.length("needle") < below)), hay, k, window)
+            pairs = some if pairs is None else pairs.unionAll(some)
+        below = least
+    if pairs is None:
+        pairs = need.join(hay.limit(0), F.lit(True)).select("literal", "needle", "key")
     return pairs.join(hay, "key").where(F.contains("text", "needle")).select("literal", "key", T.exact_count("text", "needle").alias("hits"))
 
 

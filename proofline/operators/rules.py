@@ -52,7 +52,10 @@ def quoted(x: Column | str) -> Column:
     return F.concat(F.lit('"'), F.replace(F.replace(T.col(x), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
 
 
-def issues(rows: DataFrame, code: str, phase: int, rule: int, message: Column, severity: str = "error", entry: Column | None = None, locator: Column | None = None, source: Column | None = None, claim: Column | None = None) -> DataFrame:
+def issues(rows: DataFrame, code: str, phase: int, rule: int, detail: Column | None, severity: str = "error", entry: Column | None = None, locator: Column | None = None, source: Column | None = None, claim: Column | None = None) -> DataFrame:
+    """Issue rows of one code; the message is what the code means and, behind a colon, the ``detail``."""
+    said = F.lit(ISSUE_CODES[code][1])
+    message = said if detail is None else F.concat(said, F.lit(": "), detail)
     none_int, none_text = F.lit(None).cast("int"), F.lit(None).cast("string")
     return rows.select(
         "id", F.lit(phase).alias("phase"), (F.lit(-1) if entry is None else entry.cast("int")).alias("entry_ord"), (none_int if locator is None else locator.cast("int")).alias("locator"),
@@ -73,42 +76,42 @@ def declared(c: Corpus) -> DataFrame:
 def structure_issues(c: Corpus, cfg: Config) -> DataFrame:
     """Shape of the evidence, and every entry bound to its claim."""
     term, terms = cfg.terms.claim, cfg.terms.claims
-    out = [issues(c.summaries.where("sources is null"), "missing_evidence", STRUCTURE, 0, F.lit("summary is missing evidence section"))]
-    out.append(issues(c.summaries.where("size(sources) = 0"), "empty_sources", STRUCTURE, 1, F.lit("evidence declares no sources")))
+    out = [issues(c.summaries.where("sources is null"), "missing_evidence", STRUCTURE, 0, None)]
+    out.append(issues(c.summaries.where("size(sources) = 0"), "empty_sources", STRUCTURE, 1, None))
     src = declared(c)
-    out.append(issues(src.where(~T.is_source_name("name")), "invalid_source_name", STRUCTURE, 2, F.concat(F.lit("source name "), quoted("name"), F.lit(" is not a valid path component")), entry=F.col("pos"), source=F.col("name")))
+    out.append(issues(src.where(~T.is_source_name("name")), "invalid_source_name", STRUCTURE, 2, quoted("name"), entry=F.col("pos"), source=F.col("name")))
     halves = src.select("id", "pos", "name", F.explode(F.array(F.struct(F.lit("markdown").alias("half"), F.col("markdown").alias("r")), F.struct(F.lit("pdf").alias("half"), F.col("pdf").alias("r")))).alias("h"))
     halves = halves.select("id", "pos", "name", "h.half", "h.r").where("r is not null")
     label = F.concat_ws("/", "name", "half")
-    out.append(issues(halves.where("r.source = ''"), "empty_source", STRUCTURE, 2, F.concat(label, F.lit(" source path is empty")), entry=F.col("pos"), source=F.col("name")))
-    out.append(issues(halves.where(~T.is_sha256("r.sha256")), "invalid_sha256", STRUCTURE, 2, F.concat(label, F.lit(" sha256 must be 64 lowercase hex characters")), entry=F.col("pos"), source=F.col("name")))
+    out.append(issues(halves.where("r.source = ''"), "empty_source", STRUCTURE, 2, label, entry=F.col("pos"), source=F.col("name")))
+    out.append(issues(halves.where(~T.is_sha256("r.sha256")), "invalid_sha256", STRUCTURE, 2, label, entry=F.col("pos"), source=F.col("name")))
 
     known = c.summaries.where("sources is not null").select("id", F.size("claims").alias("n_claims"))
     entries = c.entries.join(known, "id").join(c.claims(), ["id", "claim"], "left")
     at, claim = F.col("entry_ord"), F.col("claim")
-    out.append(issues(entries.where("claim >= n_claims"), "entry_out_of_range", STRUCTURE, 3, F.format_string(f"evidence {term} %d is out of range for %d {terms}", claim, F.col("n_claims")), entry=at, claim=claim))
-    out.append(issues(entries.where("claim < n_claims and not claim_sha256 <=> claim_hash"), "stale_hash", STRUCTURE, 3, F.format_string(f"{term} %d hash is stale: expected %s, found %s", claim, F.col("claim_hash"), F.coalesce("claim_sha256", F.lit("none"))), entry=at, claim=claim))
-    out.append(issues(entries.where("coalesce(size(locators), 0) <= 0"), "empty_locators", STRUCTURE, 4, F.format_string(f"{term} %d has no locators", claim), entry=at, claim=claim))
-    out.append(issues(entries.where(~F.coalesce(T.is_sha256("claim_sha256"), F.lit(False))), "invalid_sha256", STRUCTURE, 5, F.lit(f"{term}_sha256 must be 64 lowercase hex characters"), entry=at, claim=claim))
+    out.append(issues(entries.where("claim >= n_claims"), "entry_out_of_range", STRUCTURE, 3, F.format_string(f"{term} %d, {terms}: %d", claim, F.col("n_claims")), entry=at, claim=claim))
+    out.append(issues(entries.where("claim < n_claims and not claim_sha256 <=> claim_hash"), "stale_hash", STRUCTURE, 3, F.format_string(f"{term} %d has %s, recorded is %s", claim, F.col("claim_hash"), F.coalesce("claim_sha256", F.lit("nothing"))), entry=at, claim=claim))
+    out.append(issues(entries.where("coalesce(size(locators), 0) <= 0"), "empty_locators", STRUCTURE, 4, F.format_string(f"{term} %d", claim), entry=at, claim=claim))
+    out.append(issues(entries.where(~F.coalesce(T.is_sha256("claim_sha256"), F.lit(False))), "invalid_sha256", STRUCTURE, 5, F.format_string(f"{term} %d", claim), entry=at, claim=claim))
 
     pairs = src.select("id", F.col("name").alias("source"), F.lit(True).alias("declared"), F.col("markdown").isNotNull().alias("has_md"))
     loc = c.locators.join(known.select("id"), "id").join(pairs, ["id", "source"], "left")
     place = {"entry": at, "locator": F.col("locator"), "claim": claim, "source": F.col("source")}
     differ = loc.where(F.col("declared") & (F.col("has_md") != F.col("markdown").isNotNull()))
-    text = F.when(F.col("has_md"), F.concat(F.lit("source "), quoted("source"), F.lit(" records Markdown but the locator has no markdown half"))).otherwise(F.concat(F.lit("source "), quoted("source"), F.lit(" is PDF-only but the locator has a markdown half")))
+    text = F.concat(quoted("source"), F.when(F.col("has_md"), F.lit(" has Markdown, the locator cites none")).otherwise(F.lit(" has none, the locator cites Markdown")))
     out.append(issues(differ, "markdown_locator_mismatch", STRUCTURE, 6, text, **place))
-    out.append(issues(loc.where("declared is null"), "unknown_source", STRUCTURE, 6, F.concat(F.lit("locator references undeclared source "), quoted("source")), **place))
+    out.append(issues(loc.where("declared is null"), "unknown_source", STRUCTURE, 6, quoted("source"), **place))
     norm = T.normalize("exact", cfg.normalization)
     judged = loc.withColumn("norm", norm)
-    out.append(issues(judged.where("norm = ''"), "empty_exact", STRUCTURE, 7, F.lit("locator exact text is empty"), **place))
-    out.append(issues(judged.where("norm <> exact"), "unnormalized_exact", STRUCTURE, 7, F.lit("locator exact text is not normalized"), **place))
+    out.append(issues(judged.where("norm = ''"), "empty_exact", STRUCTURE, 7, None, **place))
+    out.append(issues(judged.where("norm <> exact"), "unnormalized_exact", STRUCTURE, 7, F.concat(F.lit("normalised it reads "), quoted("norm")), **place))
 
     counts = c.claims().select("id", "claim").join(known.select("id"), "id").join(c.entries.groupBy("id", "claim").agg(F.count("*").alias("n")), ["id", "claim"], "left")
     last = F.lit(MOST) - 1
-    out.append(issues(counts.where("n is null"), "missing_evidence_entry", STRUCTURE, 8, F.format_string(f"missing evidence for {term} %d", claim), entry=last, locator=claim, claim=claim))
-    out.append(issues(counts.where("n > 1"), "duplicate_entry", STRUCTURE, 8, F.format_string(f"{term} %d has %d evidence entries", claim, F.col("n")), entry=last, locator=claim, claim=claim))
+    out.append(issues(counts.where("n is null"), "missing_evidence_entry", STRUCTURE, 8, F.format_string(f"{term} %d", claim), entry=last, locator=claim, claim=claim))
+    out.append(issues(counts.where("n > 1"), "duplicate_entry", STRUCTURE, 8, F.format_string(f"{term} %d, entries: %d", claim, F.col("n")), entry=last, locator=claim, claim=claim))
     used = c.locators.select("id", F.col("source").alias("name")).distinct()
-    out.append(issues(src.join(used, ["id", "name"], "left_anti"), "unused_source", STRUCTURE, 9, F.concat(F.lit("source "), quoted("name"), F.lit(" is declared but no locator references it")), entry=F.lit(MOST), source=F.col("name"), locator=F.col("pos")))
+    out.append(issues(src.join(used, ["id", "name"], "left_anti"), "unused_source", STRUCTURE, 9, quoted("name"), entry=F.lit(MOST), source=F.col("name"), locator=F.col("pos")))
     return union(out)
 
 
@@ -123,13 +126,13 @@ def resolved_sources(c: Corpus, cfg: Config) -> tuple[DataFrame, DataFrame]:
     configured = spark.createDataFrame(table, "name string, takes_md boolean, md_templates array<string>, pdf_template string")
     src = declared(c).join(F.broadcast(configured), "name", "left")  # as many rows as the configuration has sources
     place = {"entry": F.col("pos"), "source": F.col("name")}
-    out = [issues(src.where("takes_md is null"), "unknown_source_template", SOURCES, 0, F.concat(F.lit("no templates configured for source "), quoted("name")), **place)]
+    out = [issues(src.where("takes_md is null"), "unknown_source_template", SOURCES, 0, quoted("name"), **place)]
     src = src.where("takes_md is not null")
-    out.append(issues(src.where(~T.is_valid_id("id")), "invalid_id", SOURCES, 1, F.concat(F.lit("invalid summary id "), quoted("id")), **place))
+    out.append(issues(src.where(~T.is_valid_id("id")), "invalid_id", SOURCES, 1, quoted("id"), **place))
     src = src.where(T.is_valid_id("id"))
-    out.append(issues(src.where("takes_md and size(md_templates) = 0"), "empty_markdown_candidates", SOURCES, 2, F.concat(F.lit("source "), quoted("name"), F.lit(" has no markdown candidates")), **place))
+    out.append(issues(src.where("takes_md and size(md_templates) = 0"), "empty_markdown_candidates", SOURCES, 2, quoted("name"), **place))
     only = F.lit(len(cfg.corpus.sources) > 0) & (F.col("markdown").isNotNull()) & ~F.col("takes_md")
-    out.append(issues(src.where(only), "source_mismatch", SOURCES, 3, F.concat(F.lit("source "), quoted("name"), F.lit(" is configured PDF-only but the evidence records Markdown")), **place))
+    out.append(issues(src.where(only), "source_mismatch", SOURCES, 3, F.concat(quoted("name"), F.lit(" should have no Markdown")), **place))
     src = src.where(~only)
     expected_md = F.transform("md_templates", lambda t: F.replace(t, F.lit("{id}"), F.col("id")))
     expected_pdf = F.replace(F.col("pdf_template"), F.lit("{id}"), F.col("id"))
@@ -140,13 +143,13 @@ def resolved_sources(c: Corpus, cfg: Config) -> tuple[DataFrame, DataFrame]:
             F.struct(F.lit("pdf").alias("half"), F.col("pdf").alias("r"), F.array(expected_pdf).alias("expected")))).alias("h"),
     ).select("id", "pos", "name", "h.*").where("r is not null")
     wrong = ~F.array_contains("expected", F.col("r.source"))
-    out.append(issues(halves.where(wrong), "source_mismatch", SOURCES, 4, F.concat_ws("", F.col("name"), F.lit("/"), F.col("half"), F.lit(" path is "), F.col("r.source"), F.lit(", expected "), F.array_join("expected", " or ")), **place))
+    out.append(issues(halves.where(wrong), "source_mismatch", SOURCES, 4, F.concat_ws("", F.col("name"), F.lit("/"), F.col("half"), F.lit(" records "), F.col("r.source"), F.lit(" in place of "), F.array_join("expected", " or ")), **place))
     if c.files is not None:
         seen = halves.join(c.files.select(F.col("path"), F.col("sha256").alias("actual"), "state"), F.col("r.source") == F.col("path"), "left").withColumn("state", F.coalesce("state", F.lit("missing")))
         for state, code in (("outside", "source_outside_repo"), ("missing", "source_unresolvable"), ("unreadable", "source_read_failed")):
             out.append(issues(seen.where(F.col("state") == state), code, SOURCES, 5, F.concat_ws("", F.col("name"), F.lit("/"), F.col("half"), F.lit(": "), F.col("r.source")), **place))
-        out.append(issues(seen.where("state = 'undecodable' and half = 'markdown'"), "markdown_read_failed", SOURCES, 7, F.concat(F.lit("cannot read "), F.col("r.source")), **place))
-        out.append(issues(seen.where("actual is not null and actual <> r.sha256"), "source_hash_mismatch", SOURCES, 6, F.format_string("%s/%s hash is %s, recorded %s", "name", "half", "actual", F.col("r.sha256")), **place))
+        out.append(issues(seen.where("state = 'undecodable' and half = 'markdown'"), "markdown_read_failed", SOURCES, 7, F.col("r.source"), **place))
+        out.append(issues(seen.where("actual is not null and actual <> r.sha256"), "source_hash_mismatch", SOURCES, 6, F.format_string("%s/%s has %s, recorded is %s", "name", "half", "actual", F.col("r.sha256")), **place))
         ok = seen.groupBy("id", F.col("name").alias("source")).agg(F.max(F.when((F.col("half") == "markdown") & (F.col("state") == "ok"), 1).otherwise(0)).alias("md"), F.max(F.when(F.col("state").isin("outside", "missing"), 1).otherwise(0)).alias("lost"))
         good = ok.where("lost = 0").select("id", "source", (F.col("md") == 1).alias("md_ok"))
     else:
@@ -187,23 +190,23 @@ def locator_issues(found: DataFrame, cfg: Config) -> DataFrame:
     place = {"entry": F.col("entry_ord"), "locator": F.col("locator"), "claim": F.col("claim"), "source": F.col("source")}
     base = found.where("source_ok")
     md = base.where("md_ok and markdown is not null")
-    where = F.format_string("%s unit at line %d, column %d", F.col("kind"), F.col("line"), F.col("col"))
+    where = F.format_string("%s at %d:%d", F.col("kind"), F.col("line"), F.col("col"))
     one = md.where("units = 1")
     out = [
-        issues(md.where("units is null"), "markdown_unit_missing", ENTRY, 0, F.concat(F.lit("no "), where), **place),
-        issues(md.where("units > 1"), "markdown_unit_missing", ENTRY, 0, F.concat(F.lit("multiple units: "), where), **place),
-        issues(one.where("md_count = 0"), "markdown_missing", ENTRY, 1, F.concat(F.lit("exact text not found in "), where), **place),
-        issues(one.where("md_count > 1"), "markdown_ambiguous", ENTRY, 1, F.concat(F.lit("exact text occurs more than once in "), where), **place),
+        issues(md.where("units is null"), "markdown_unit_missing", ENTRY, 0, F.concat(where, F.lit(" has none")), **place),
+        issues(md.where("units > 1"), "markdown_unit_missing", ENTRY, 0, F.concat(where, F.lit(" has several")), **place),
+        issues(one.where("md_count = 0"), "markdown_missing", ENTRY, 1, where, **place),
+        issues(one.where("md_count > 1"), "markdown_ambiguous", ENTRY, 1, F.format_string("%s, times: %d", where, F.col("md_count")), **place),
         issues(one.where("md_count = 1 and size(markdown.section) > 0").where(~T.paths_match("markdown.section", "unit_section")), "stale_section", ENTRY, 1,
-               F.concat(F.lit("recorded section is ["), F.array_join("markdown.section", ", "), F.lit("], found ["), F.array_join(F.coalesce("unit_section", F.array().cast("array<string>")), ", "), F.lit("]")), **place),
-        issues(base.where(_ocr_off(cfg)), "ocr_disabled", ENTRY, 2, F.lit("locator uses OCR but OCR is disabled"), **place),
+               F.concat(F.array_join("markdown.section", " > "), F.lit(" is now "), F.array_join(F.coalesce("unit_section", F.array().cast("array<string>")), " > ")), **place),
+        issues(base.where(_ocr_off(cfg)), "ocr_disabled", ENTRY, 2, None, **place),
     ]
-    page = F.format_string("%s page %d", F.col("backend"), F.col("page"))
+    page = F.format_string("page %d by %s", F.col("page"), F.col("backend"))
     on = base.where(~F.coalesce(_ocr_off(cfg), F.lit(False)))
     out += [
-        issues(on.where("pages is not null and pdf_count = 0"), "pdf_missing", ENTRY, 3, F.concat(F.lit("exact text not found on "), page), **place),
-        issues(on.where("pages is not null and pdf_count > 1"), "pdf_ambiguous", ENTRY, 3, F.concat(F.lit("exact text occurs more than once on "), page), **place),
-        issues(on.where("pages is null or pdf_count is null"), "pdf_extraction_failed", ENTRY, 3, F.concat(F.lit("no text of "), F.coalesce(page, F.lit("the page"))), **place),
+        issues(on.where("pages is not null and pdf_count = 0"), "pdf_missing", ENTRY, 3, page, **place),
+        issues(on.where("pages is not null and pdf_count > 1"), "pdf_ambiguous", ENTRY, 3, F.format_string("%s, times: %d", page, F.col("pdf_count")), **place),
+        issues(on.where("pages is null or pdf_count is null"), "pdf_extraction_failed", ENTRY, 3, F.coalesce(page, F.lit("no page given")), **place),
     ]
     return union(out)
 
@@ -228,11 +231,11 @@ def coverage_issues(c: Corpus, cfg: Config) -> list[DataFrame]:
     out = []
     if (s := SEVERITIES.get(cfg.coverage.tokens)) is not None:
         rows = uncovered_tokens(c, cfg)
-        out.append(issues(rows, "uncovered_token", ENTRY, 4, F.concat(F.lit("required token "), quoted("token"), F.format_string(" from claim %d appears in no locator", F.col("claim"))), s, entry=F.col("entry_ord"), locator=F.lit(MOST) + F.col("pos"), claim=F.col("claim")))
+        out.append(issues(rows, "uncovered_token", ENTRY, 4, F.concat(quoted("token"), F.format_string(f" of {cfg.terms.claim} %d", F.col("claim"))), s, entry=F.col("entry_ord"), locator=F.lit(MOST) + F.col("pos"), claim=F.col("claim")))
     if (s := SEVERITIES.get(cfg.coverage.words)) is not None:
         rows = uncovered_words(c, cfg)
         said = F.array_join(F.transform("words", lambda w: F.concat(F.lit('"'), w, F.lit('"'))), ", ")
-        out.append(issues(rows, "uncovered_word", ENTRY, 5, F.concat(F.format_string("claim %d uses %d word(s) that appear in no locator: ", F.col("claim"), F.size("words")), said), s, entry=F.col("entry_ord"), locator=F.lit(MOST), claim=F.col("claim")))
+        out.append(issues(rows, "uncovered_word", ENTRY, 5, F.concat(F.format_string(f"{cfg.terms.claim} %d, ", F.col("claim")), said), s, entry=F.col("entry_ord"), locator=F.lit(MOST), claim=F.col("claim")))
     return out
 
 
@@ -242,7 +245,7 @@ def weak_issues(found: DataFrame, cfg: Config) -> list[DataFrame]:
         return []
     weak = F.coalesce(F.col("source_ok"), F.lit(False)) & F.coalesce(F.col("md_ok"), F.lit(False)) & F.coalesce(F.col("units") == 1, F.lit(False)) & T.is_weak_section("unit_section", cfg.sections.weak)
     rows = found.groupBy("id", "entry_ord", "claim").agg(F.bool_and(weak).alias("weak")).where("weak")
-    return [issues(rows, "weak_section_only", ENTRY, 6, F.format_string("every locator for claim %d is under a weak section", F.col("claim")), "warning", entry=F.col("entry_ord"), locator=F.lit(MOST), claim=F.col("claim"))]
+    return [issues(rows, "weak_section_only", ENTRY, 6, F.format_string(f"{cfg.terms.claim} %d", F.col("claim")), "warning", entry=F.col("entry_ord"), locator=F.lit(MOST), claim=F.col("claim"))]
 
 
 def review_issues(c: Corpus, cfg: Config, require_review: bool) -> DataFrame:
@@ -253,22 +256,22 @@ def review_issues(c: Corpus, cfg: Config, require_review: bool) -> DataFrame:
     inside = rev.where("claim < n_claims").withColumn("nth", F.row_number().over(Window.partitionBy("id", "claim").orderBy("review_ord")))
     place = {"entry": F.col("at_ord"), "claim": claim}
     out = [
-        issues(rev.where("claim >= n_claims"), "unknown_review_claim", REVIEW, 0, F.format_string(f"review entry references {term} %d but only %d {terms} exist", claim, F.col("n_claims")), **place),
-        issues(inside.where("nth > 1"), "duplicate_review_claim", REVIEW, 0, F.format_string(f"duplicate review entry for {term} %d", claim), **place),
+        issues(rev.where("claim >= n_claims"), "unknown_review_claim", REVIEW, 0, F.format_string(f"{term} %d, {terms}: %d", claim, F.col("n_claims")), **place),
+        issues(inside.where("nth > 1"), "duplicate_review_claim", REVIEW, 0, F.format_string(f"{term} %d", claim), **place),
     ]
     first = inside.where("nth = 1").join(c.claims(), ["id", "claim"])
-    out.append(issues(first.where("not claim_sha256 <=> claim_hash"), "stale_review_claim", REVIEW, 0, F.format_string(f"review {term}_sha256 is stale for {term} %d: expected %s, found %s", claim, F.col("claim_hash"), F.coalesce("claim_sha256", F.lit("none"))), **place))
+    out.append(issues(first.where("not claim_sha256 <=> claim_hash"), "stale_review_claim", REVIEW, 0, F.format_string(f"{term} %d has %s, reviewed was %s", claim, F.col("claim_hash"), F.coalesce("claim_sha256", F.lit("nothing"))), **place))
     last = c.entries.groupBy("id", "claim").agg(F.max_by("locators", "entry_ord").alias("locators")).select("id", "claim", T.evidence_sha256("locators", cfg.normalization).alias("expected"))
     stale = first.drop("locators").join(last, ["id", "claim"]).where("not evidence_sha256 <=> expected")
-    out.append(issues(stale, "stale_review_evidence", REVIEW, 1, F.format_string(f"review evidence_sha256 is stale for {term} %d: expected %s, found %s", claim, F.col("expected"), F.coalesce("evidence_sha256", F.lit("none"))), **place))
+    out.append(issues(stale, "stale_review_evidence", REVIEW, 1, F.format_string(f"{term} %d has %s, reviewed was %s", claim, F.col("expected"), F.coalesce("evidence_sha256", F.lit("nothing"))), **place))
     if require_review:
         out.append(missing_reviews(c, cfg))
         wrong = inside.where("coalesce(verdict, '') <> 'supported'")
-        out.append(issues(wrong, "unsupported_verdict", REVIEW, 3, F.format_string(f"{term} %d verdict is %s, not supported", claim, F.coalesce("verdict", F.lit("none"))), entry=F.lit(MOST) + F.col("at_ord"), claim=claim))
+        out.append(issues(wrong, "unsupported_verdict", REVIEW, 3, F.format_string(f"{term} %d was given %s", claim, F.coalesce("verdict", F.lit("nothing"))), entry=F.lit(MOST) + F.col("at_ord"), claim=claim))
     return union(out)
 
 
 def missing_reviews(c: Corpus, cfg: Config) -> DataFrame:
     base = c.summaries.where("sources is not null").select("id")
     rows = c.claims().join(base, "id").join(c.reviews.select("id", "claim").distinct(), ["id", "claim"], "left_anti")
-    return issues(rows, "missing_review", REVIEW, 2, F.format_string(f"{cfg.terms.claim} %d has no review entry", F.col("claim")), entry=F.lit(MOST), locator=F.col("claim"), claim=F.col("claim"))
+    return issues(rows, "missing_review", REVIEW, 2, F.format_string(f"{cfg.terms.claim} %d", F.col("claim")), entry=F.lit(MOST), locator=F.col("claim"), claim=F.col("claim"))

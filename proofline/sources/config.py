@@ -15,7 +15,7 @@ import yaml
 
 from proofline.functions.text import Normalization
 
-CONFIG_NAMES = (".config/custody.yaml", ".custody.yaml", "custody.yaml")
+PROJECT_NAME = "proofline"  # the project file's name; it may be hidden or lie in .config
 _SUFFIXES = (".yaml", ".yml", ".toml", ".json")
 
 
@@ -198,12 +198,12 @@ def read_tree(path: Path) -> Any:
     return json.loads(text) if path.suffix == ".json" else yaml.safe_load(text)
 
 
-def discover(start: Path) -> Path | None:
+def discover(start: Path, name: str = PROJECT_NAME) -> Path | None:
     """The nearest project file of ``start`` or its ancestors, not beyond a folder with .git."""
     for folder in [start, *start.parents]:
-        for name in CONFIG_NAMES:
+        for stem in (f".config/{name}", f".{name}", name):
             for suffix in _SUFFIXES:
-                if (found := folder / (name[: -len(".yaml")] + suffix)).is_file():
+                if (found := folder / (stem + suffix)).is_file():
                     return found
         if (folder / ".git").exists():
             return None
@@ -219,7 +219,7 @@ def resolve_root(config_path: Path | None, start: Path) -> Path:
     return next((f for f in [start, *start.parents] if (f / ".git").exists()), start)
 
 
-def load(start: str | os.PathLike, explicit: str | os.PathLike | None = None) -> tuple[Config, Path]:
-    """(configuration, corpus root)."""
-    path = Path(explicit) if explicit else discover(Path(start).resolve())
+def load(start: str | os.PathLike, explicit: str | os.PathLike | None = None, name: str = PROJECT_NAME) -> tuple[Config, Path]:
+    """(configuration, corpus root); ``name`` is that of the project files to look for."""
+    path = Path(explicit) if explicit else discover(Path(start).resolve(), name)
     return (decode(read_tree(path)) if path else Config()), resolve_root(path, Path(start))

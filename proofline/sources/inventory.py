@@ -91,7 +91,7 @@ def from_folder(spark: SparkSession, root: str | os.PathLike, cfg: Config, pages
     failed = parsed.where("parse_error is not null").select(F.col("file_id").alias("id"), "parse_error")
     other = parsed.where("parse_error is null and id <> file_id").select("file_id", F.col("id").alias("found"))
     issues = R.issues(failed, "summary_parse_failed", -1, 0, F.col("parse_error")).unionByName(
-        R.issues(other.select(F.col("file_id").alias("id"), "found"), "id_mismatch", -1, 0, F.concat(F.lit("summary id is "), F.col("found")))
+        R.issues(other.select(F.col("file_id").alias("id"), "found"), "id_mismatch", -1, 0, F.concat(F.lit("it says "), F.col("found")))
     )
     good = parsed.where("parse_error is null and id = file_id")
     entries = good.select("id", F.posexplode("entries").alias("entry_ord", "e")).select("id", "entry_ord", "e.claim", "e.claim_sha256", "e.locators")

@@ -49,7 +49,7 @@ def test_stext():
 
 def test_config(tmp_path):
     (tmp_path / ".git").mkdir()
-    (tmp_path / "custody.yaml").write_text("coverage: {words: off, tokens: warn}\ncorpus: {pdf: 'p/{id}.pdf'}\n")
+    (tmp_path / "proofline.yaml").write_text("coverage: {words: off, tokens: warn}\ncorpus: {pdf: 'p/{id}.pdf'}\n")
     (tmp_path / "a").mkdir()
     cfg, root = config.load(tmp_path / "a")
     assert root == tmp_path.resolve() and cfg.coverage.tokens == "warn" and cfg.corpus.sources["default"].pdf == "p/{id}.pdf"
