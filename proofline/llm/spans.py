@@ -20,47 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from proofline.functions.grams import chosen
+
 HOT = 512  # occurrences of one digest that a single task pairs; beyond it the digest is split by salt
-_CHUNK = 1 << 23  # characters fingerprinted at once; positions must fit 24 bits
-
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-_BASE = 0x100000001B3
-_INVERSE = pow(_BASE, -1, 1 << 64)
-
-
-def _gram_hashes(codes: np.ndarray, k: int) -> np.ndarray:
-    """A 64-bit hash of every run of ``k`` code points; wrap-around arithmetic is intended."""
-    n = len(codes)
-    powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, _BASE, np.uint64)]))
-    inverse = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - k, _INVERSE, np.uint64)]))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * _ODD * powers)])
-    h = (sums[k:] - sums[:-k]) * inverse
-    h ^= h >> np.uint64(31)
-    h *= _ODD
-    h ^= h >> np.uint64(29)
-    return h
-
-
-def _chosen(texts: list[str], k: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(index of the text, position, digest) of every chosen unit; each text has k+window-1 characters or more."""
-    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    h = _gram_hashes(codes, k)
-    low = np.uint64((1 << 24) - 1)
-    least = (h & ~low) | np.arange(len(h), dtype=np.uint64)  # the leftmost of equal hashes wins
-    span = 1
-    while span * 2 <= window:
-        least = np.minimum(least[:-span], least[span:])
-        span *= 2
-    if span < window:
-        least = np.minimum(least[: len(least) - (window - span)], least[window - span :])
-    inside = np.ones(len(least), bool)
-    for end in (starts + lengths)[:-1]:  # windows that would run over the end of a text
-        inside[max(0, end - (k + window - 2)) : end] = False
-    at = np.unique((least[inside] & low).astype(np.int64))
-    which = np.searchsorted(starts, at, "right") - 1
-    return which, at - starts[which], h[at].view(np.int64)
+_CHUNK = 1 << 23  # characters fingerprinted at once
 
 
 def _fingerprints(k: int, window: int):
@@ -84,7 +47,7 @@ def _fingerprints(k: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, owners, texts in chunks(batch):
-                which, pos, digest = _chosen(texts, k, window)
+                which, pos, digest = chosen(texts, k, window)
                 base = np.array([i for i, _ in ids], np.int64)
                 shift = np.array([a for _, a in ids], np.int64)
                 own = np.array(owners, np.int64)
