@@ -99,6 +99,37 @@ _LEGS = f"""{_FOUND}, per as (select id, claim, count(*) as n, bool_and(not (sou
    from per left join md on md.id = per.id and md.claim = per.claim and md.hits = per.n)"""
 _WORDS = f"""list_distinct(list_filter(regexp_extract_all(translate({_norm('claim_text')}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z]+'),
   lambda w: length(w) >= 4 and not list_contains({_list(STOP_WORDS)}, w)))"""
+# This dialect has no look-around: every quote first gets a sign for whether it may open (1), close (2), do both (3) or neither.
+_ALNUM = r"'[\p{L}\p{N}]'"
+
+
+def _phrases(x: str) -> str:
+    def marked(q: str, i: int) -> str:
+        side = lambda at: f"regexp_matches(coalesce(ch[{at}], ' '), {_ALNUM})"
+        sign = f"case when {side('i - 1')} and {side('i + 1')} then chr(4) when {side('i + 1')} then chr(1) when {side('i - 1')} then chr(2) else chr(3) end"
+        text = f"array_to_string(list_transform(range(1, len(ch) + 1), lambda i: case when ch[i] = {q} then {sign} else ch[i] end), '')"
+        found = f"regexp_extract_all({text}, '(?s)[' || chr(1) || chr(3) || '](.*?)[' || chr(2) || chr(3) || ']', 1)"
+        return f"list_transform({found}, lambda f: translate(f, chr(1) || chr(2) || chr(3) || chr(4), repeat({q}, 4)))"
+
+    both = f"list_concat({marked('chr(34)', 0)}, {marked('chr(39)', 1)})"
+    return f"list_filter(list_transform({both}, lambda f: {_norm('f')}), lambda f: f <> '')"
+
+
+_CHARS = f"{_CLAIMS}, ch_x as (select *, string_split(claim_text, '') as ch from claims_x)"
+_REQUIRED = f"list_sort(list_distinct(list_concat(list_concat({_NUMBERS}, {_NUMBER_WORDS}), {_phrases('claim_text')})))"
+
+
+def _object(fields: dict[str, str]) -> str:
+    parts = ", ".join(f"""'"{k}":' || to_json({v})""" for k, v in fields.items())
+    return "'{' || array_to_string(list_filter([" + parts + "], lambda x: x is not null), ',') || '}'"
+
+
+_SECTION = "case when len(markdown.section) > 0 then markdown.section end"
+_MARKDOWN = _object({"column": "markdown.col", "line": "markdown.line", "section": _SECTION, "unit": "markdown.unit"})
+_PDF = _object({"backend": "pdf.backend", "page": "pdf.page"})
+_CANONICAL = f"""{_LOC}, j as (select id, claim, nth, '{{"exact":' || to_json({_norm('exact')}) || case when markdown is not null then ',"markdown":' || {_MARKDOWN} else '' end
+   || case when pdf is not null then ',"pdf":' || {_PDF} else '' end || ',"source":' || to_json(coalesce(source, 'default')) || '}}' as one from l),
+ canon as (select id, claim, '[' || string_agg(one, ',' order by nth) || ']' as canonical from j group by all)"""
 _LINES = "string_split(text, chr(10))"
 
 ORACLE: dict[str, str] = {
@@ -125,6 +156,17 @@ ORACLE: dict[str, str] = {
     "numeric_tokens": f"""with {_CLAIMS}, x as (select id, claim, {_NUMBERS} as t from claims_x)
  select id, claim, unnest(t) as token, generate_subscripts(t, 1) - 1 as pos from x""",
     "number_words": f"with {_CLAIMS} select id, claim, unnest({_NUMBER_WORDS}) as token from claims_x",
+    "quoted_phrases": f"""with {_CHARS}, x as (select id, claim, {_phrases('claim_text')} as f from ch_x)
+ select id, claim, unnest(f) as phrase, generate_subscripts(f, 1) - 1 as pos from x""",
+    "required_tokens": f"with {_CHARS} select id, claim, {_REQUIRED} as tokens from ch_x",
+    "token_coverage": f"""with {_CHARS}, {_LOC}, e as (select id, claim, list(exact) as exacts from l group by all),
+ x as (select c.id, c.claim, unnest({_REQUIRED}) as token, exacts from ch_x c join e on e.id = c.id and e.claim = c.claim)
+ select id, claim, token from x where len(list_filter(exacts, lambda t: case when list_contains({_list(NUMBER_WORDS)}, token) then {_inside('t', 'token', '(?i)')} else {_inside('t', 'token')} end)) = 0""",
+    "canonical_json_hash": f"with {_CANONICAL} select id, claim, canonical, sha256(canonical) as digest from canon",
+    "review_stale": f"""with {_CLAIMS}, {_CANONICAL}, {_REV},
+ one as (select distinct on (id, claim) * from (select r.* from r join s on s.id = r.id where claim < len(claims)) order by id, claim, review_id)
+ select o.id, 'stale_review_claim' as code, o.claim, 1 as n from one o join claims_x c on c.id = o.id and c.claim = o.claim where o.claim_sha256 is distinct from sha256(claim_text)
+ union all select o.id, 'stale_review_evidence', o.claim, 1 from one o join canon c on c.id = o.id and c.claim = o.claim where o.evidence_sha256 is distinct from sha256(canonical)""",
     "content_words": f"with {_CLAIMS} select id, claim, unnest({_WORDS}) as word from claims_x",
     "word_coverage": f"""with {_CLAIMS}, {_LOC}, e as (select id, claim, list(exact) as exacts from l group by all),
  x as (select c.id, c.claim, unnest({_WORDS}) as word, exacts from claims_x c join e on e.id = c.id and e.claim = c.claim)
