@@ -1,17 +1,18 @@
 """Language of every document and of every segment of mixed ones, with a confidence.
 
-A linear-chain conditional random field over words: affix, character n-gram, script and lexicon
-features with weights learned from a bounded sample of labelled documents.  Languages change only
-between sentences, so transitions between languages have potential only there; within a sentence the
-chain stays in one state and the word potentials add up, and forward-backward runs over sentences.
-Sentences are cut generously (a cut too many costs nothing but a possible switch, whose learned
-potential is low).  The sample's labels may be wrong: a field is fitted on each half, the
-sentences of the other half that it contradicts are set aside, and the field is fitted on the rest; the
-rate of switches is learned on all of the sample.
+A linear-chain conditional random field: affix, character n-gram, script and lexicon features of the
+words, and transitions between languages, with weights learned together by forward-backward from a
+bounded sample of labelled documents.  Languages change only between sentences, so transitions have
+potential only there; within a sentence the chain stays in one state and the word potentials add up, and
+forward-backward runs over sentences.  Sentences are cut generously (a cut too many costs nothing but a
+possible switch).  The sample's labels may be wrong or hold for a part only: a field is fitted on the
+labels of each half, the other half's sentences are labelled by it, and the whole field is fitted on
+these chains.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 SAMPLE_PER_LANGUAGE = 120  # labelled documents that the field is fitted on, per language
 SAMPLE_CHARS = 20_000  # longer documents are not put in the sample (they are labelled like all others)
+SAMPLE_LEAST = 21  # nor are shorter ones
 
 # Three-letter codes (terminological and bibliographic) of two-letter ones.
 THREE_LETTERS = {
@@ -43,8 +45,9 @@ _CUT = re.compile(
 _THAI = re.compile("[฀-๿]")
 _THAI_CUT = re.compile(r"(?<=[฀-๿%)0-9²³])\s+(?=[\"„«“¿「]?[^\W\d_฀-๿]{2})|(?<=[^\W\d_฀-๿.%)²³0-9])\s+(?=[฀-๿])")
 #: A quotation in brackets is no run; its letters don't count.
-_GLOSS = re.compile(r"[(（][“\"„«「『][^()（）]{0,200}[”\"“»」』][)）]")
-EVIDENCE = 1.5  # by how much (log odds) the first language of a sentence must lead for a run of its own
+_GLOSS = re.compile(r"[(（][“\"„«「『][^()（）]*[”\"“»」』][)）]")
+EVIDENCE = 2.5  # by how much (log odds) the first language of a sentence must lead for a run of its own
+LEANING = 0.75  # and by how much for going with the run behind it
 UNKNOWN = 0.3  # weight of the affixes of a word of a cased script that the lexicon lacks
 _SCRIPTS = ((0x250, "l"), (0x370, "o"), (0x400, "g"), (0x530, "c"), (0x600, "o"), (0x700, "a"), (0x900, "o"), (0x980, "d"), (0xE00, "o"), (0xE80, "t"), (0x3040, "o"), (0x3100, "k"), (0x3400, "o"), (0xA000, "h"))
 
@@ -71,109 +74,225 @@ def segments(text: str) -> list[int]:
     return [first, *(e for e in ends if first < e < len(text))]
 
 
+
+
+@functools.lru_cache(maxsize=1 << 14)
+def _script(char: str) -> str:
+    code = ord(char)
+    return next((s for top, s in _SCRIPTS if code < top), "h" if 0x20000 <= code < 0x30000 else "o")
+
+
 def _features(word: str) -> list[str]:
-    code = ord(word[0])
-    script = next((s for top, s in _SCRIPTS if code < top), "h" if 0x20000 <= code < 0x30000 else "o")
+    """Script (first), the word, its affixes and an inner trigram; of a run of an unspaced script all scripts and pairs of letters."""
+    script = _script(word[0])
     out = ["#" + script, "=" + word, "<" + word[:1], "<" + word[:2], ">" + word[-1:], ">" + word[-2:]]
-    if len(word) > 2:
+    n = len(word)
+    if n > 2:
         out += ["<" + word[:3], ">" + word[-3:]]
-    if len(word) > 4:
-        mid = len(word) // 2
+    if n > 4:
+        mid = n // 2
         out.append("~" + word[mid - 1 : mid + 2])
+    if not word.isascii() and word[-1] > "\u0dff":
+        out += ["#" + c for c in {*map(_script, word)} if c != script]
+        out += [f"+{a}{b}" for a, b in zip(word, word[1:]) if b > "\u0dff"]
     return out
 
 
 @dataclass
 class Field:
-    """The fitted field: weights (feature, language), the languages, and the chance of a switch between sentences."""
+    """The fitted field: weights (feature, language), the languages, and the log potential of every transition between sentences."""
 
     languages: list[str]
     index: dict[str, int]
     weights: np.ndarray
-    switch: float = 0.02
-
-    def word(self, word: str) -> np.ndarray:
-        get = self.index.get
-        features = _features(word)
-        at = [i for f in features if (i := get(f)) is not None]
-        if not at:
-            return np.zeros(len(self.languages), np.float32)
-        total = self.weights[at].sum(0)
-        return total if features[1] in self.index or features[0] not in ("#l", "#c", "#g") else UNKNOWN * total
-
-
-def _design(words: Sequence[list[str]]) -> tuple[list[list[str]], Counter]:
-    counts: Counter = Counter()
-    out = []
-    for ws in words:
-        fs = [f for w in ws for f in _features(w)]
-        counts.update(set(fs))
-        out.append(fs)
-    return out, counts
-
-
-def _fit_weights(rows: list[list[str]], index: dict[str, int], y: np.ndarray, n: int, rounds: int = 35) -> np.ndarray:
-    """Weights that maximise the penalised likelihood of one label per sentence, by Adam on the whole sample in chunks."""
-    at = [np.fromiter((index[f] for f in r if f in index), np.int64) for r in rows]
-    keep = [i for i, a in enumerate(at) if len(a)]
-    at, y = [at[i] for i in keep], y[keep]
-    w = np.zeros((len(index), n), np.float32)
-    if not at:
-        return w
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    share = 1.0 / np.bincount(y, minlength=n).clip(1)  # every language weighs the same
-    weight = (share[y] * len(y) / n).astype(np.float32)
-    chunks = []
-    size, start = 0, 0
-    for i, a in enumerate(at):
-        size += len(a)
-        if size > 150_000 or i == len(at) - 1:
-            flat = np.concatenate(at[start : i + 1])
-            lengths = np.array([len(a) for a in at[start : i + 1]])
-            row = np.repeat(np.arange(len(lengths)), lengths)
-            order = np.argsort(flat, kind="stable")
-            feats, first = np.unique(flat[order], return_index=True)
-            chunks.append((flat, np.concatenate([[0], np.cumsum(lengths)[:-1]]), row[order], feats, first, slice(start, i + 1)))
-            start, size = i + 1, 0
-    for step in range(1, rounds + 1):
-        grad = np.zeros_like(w)
-        for flat, begins, row, feats, first, part in chunks:
-            z = np.add.reduceat(w[flat], begins)
+    transitions: np.ndarray
+
+    def words(self, words: Sequence[str]) -> np.ndarray:
+        """Scores (word, language)."""
+        get, empty = self.index.get, len(self.weights)
+        weights = np.concatenate([self.weights, np.zeros((1, len(self.languages)), np.float32)])
+        at: list[int] = []
+        sizes: list[int] = []
+        unknown = np.ones(len(words), np.float32)
+        for i, w in enumerate(words):
+            fs = _features(w)
+            at += [get(f, empty) for f in fs]
+            sizes.append(len(fs))
+            if fs[0] in ("#l", "#c", "#g") and fs[1] not in self.index:
+                unknown[i] = UNKNOWN
+        out = np.zeros((len(words), len(self.languages)), np.float32)
+        if len(at):
+            ends = np.cumsum(sizes)
+            begins = np.concatenate([[0], ends[:-1]])
+            for a in range(0, len(words), 20_000):
+                z = min(len(words), a + 20_000)
+                part = np.array(at[begins[a] : ends[z - 1]], np.int64)
+                out[a:z] = np.add.reduceat(weights[part], begins[a:z] - begins[a])
+        return out * unknown[:, None]
+
+
+CHAINS = 0.25  # weight of the likelihood of chains beside that of single labels
+NATIVE = 0.25  # share of a language's letters from which on a script is its own
+SWITCH = 0.005  # chance of another language in the next sentence, before it is learned
+
+
+def _transitions(n: int, switch: float = SWITCH) -> np.ndarray:
+    """Log potentials of a chain that changes with this chance, to any other language alike."""
+    return np.where(np.eye(n, dtype=bool), np.log(1 - switch), np.log(switch / max(n - 1, 1)))
+
+
+class _Sample:
+    """The sample as numbers: sentences as words, words as features; both are counted once and used by all fits."""
+
+    def __init__(self, docs: Sequence[list[list[str]]]):
+        self.sizes = np.array([len(d) for d in docs], np.int64)
+        self.doc = np.repeat(np.arange(len(docs)), self.sizes)
+        sentences = [ws for d in docs for ws in d]
+        place: dict[str, int] = {}
+        flat = [place.setdefault(w, len(place)) for ws in sentences for w in ws]
+        self.sentence = np.repeat(np.arange(len(sentences)), [len(ws) for ws in sentences])
+        self.word = np.array(flat, np.int64)
+        self.n = len(sentences)
+        self.vocabulary = list(place)
+        names: dict[str, int] = {}
+        rows = [[names.setdefault(f, len(names)) for f in _features(w)] for w in self.vocabulary]
+        self.of_word = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        self.feature = np.fromiter((f for r in rows for f in r), np.int64, len(self.of_word))
+        self.names = list(names)
+        self.own = np.ones((len(names), 1), np.float32)
+
+    def native(self, y: np.ndarray, n: int) -> None:
+        """Words of a script that is not a language's own (units, names) speak for it by their script only."""
+        scripts = sorted({s for _, s in _SCRIPTS} | {"h", "o"})
+        at = {s: i for i, s in enumerate(scripts)}
+        of = np.array([at[_script(w[0])] for w in self.vocabulary], np.int64)
+        letters = np.zeros((n, len(scripts)))
+        np.add.at(letters, (y[self.sentence], of[self.word]), np.array([len(w) for w in self.vocabulary])[self.word])
+        own = letters >= NATIVE * letters.sum(1, keepdims=True)
+        self.own = np.stack([np.ones(n) if f[0] == "#" else own[:, at[_script(f[1])]] for f in self.names]).astype(np.float32)
+
+    def fit(self, y: np.ndarray, use: np.ndarray, languages: list[str], rounds: int, chains: bool) -> Field:
+        """The field that fits the labels ``y`` of the sentences in ``use``, by Adam on the penalised likelihood.
+
+        It is the likelihood of each label alone and, with ``chains``, also that of the label chains of whole
+        documents, whose gradient comes from forward-backward and goes to weights and transitions together.
+        (By chains alone a sentence that its neighbours explain would teach its words nothing.)
+        """
+        n = len(languages)
+        has = np.zeros(self.n, bool)
+        has[self.sentence] = True
+        use = use & has
+        inside = use[self.sentence]
+        sentence, word = self.sentence[inside], self.word[inside]
+        counts = np.bincount(word, minlength=len(self.vocabulary))
+        seen = np.bincount(self.feature[counts[self.of_word] > 0], weights=counts[self.of_word][counts[self.of_word] > 0], minlength=len(self.names)) > 1
+        ids = np.flatnonzero(seen)
+        column = np.full(len(self.names), -1)
+        column[ids] = np.arange(len(ids))
+        pairs = (counts[self.of_word] > 0) & seen[self.feature]
+        words, features = self.of_word[pairs], column[self.feature[pairs]]
+        # Sums by sorted segments: features of a word, words of a feature, words of a sentence, sentences of a word.
+        to_word, to_feature = _Sum(words, features, len(self.vocabulary), len(ids))
+        to_sentence, back = _Sum(sentence, word, self.n, len(self.vocabulary))
+        share = np.bincount(y[use], minlength=n).clip(1)
+        weight = np.where(use, use.sum() / n / share[y], 0).astype(np.float32)  # every language weighs the same
+        w, t = np.zeros((len(ids), n), np.float32), _transitions(n)
+        prior, own = t.copy(), self.own[ids]
+        moments = [(np.zeros_like(x), np.zeros_like(x)) for x in (w, t)]
+        chain = _Chains(self.doc, use) if chains else None
+        total = max(1, int(use.sum()))
+        for step in range(1, rounds + 1):
+            z = to_sentence(to_word(w))
             z -= z.max(1, keepdims=True)
             p = np.exp(z)
             p /= p.sum(1, keepdims=True)
-            p[np.arange(len(p)), y[part]] -= 1
-            p *= weight[part][:, None]
-            grad[feats] += np.add.reduceat(p[row], first)
-        grad = grad / len(y) + 3e-5 * w
-        m += 0.1 * (grad - m)
-        v += 0.01 * (grad * grad - v)
-        w -= 0.12 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
-    return w
-
-
-def _chain(scores: np.ndarray, switch: float) -> tuple[np.ndarray, float]:
-    """Posterior of the language of each sentence (rows of ``scores``) and the expected number of switches."""
-    t, n = scores.shape
-    e = np.exp(scores - scores.max(1, keepdims=True))
-    stay, move = 1 - switch, switch / max(n - 1, 1)
-    a, b = np.empty((t, n)), np.ones((t, n))
-    a[0] = e[0] / e[0].sum()
-    for i in range(1, t):
-        x = ((stay - move) * a[i - 1] + move) * e[i]
-        a[i] = x / x.sum()
-    for i in range(t - 2, -1, -1):
-        x = e[i + 1] * b[i + 1]
-        x = (stay - move) * x + move * x.sum()
-        b[i] = x / x.sum()
-    p = a * b
-    p /= p.sum(1, keepdims=True)
-    if t == 1:
-        return p, 0.0
-    ahead = e[1:] * b[1:]
-    same = (stay * a[:-1] * ahead).sum(1)
-    every = same + move * (a[:-1].sum(1) * ahead.sum(1) - (a[:-1] * ahead).sum(1))
-    return p, float((1 - same / every).sum())
+            p[np.arange(self.n), y] -= 1
+            grads = []
+            if chain is not None:
+                whole, moved = chain.expected(z, t)
+                whole[np.arange(self.n), y] -= 1
+                p = ((1 - CHAINS) * p + CHAINS * whole).astype(np.float32)
+                grads = [(moved - chain.counted(y, n)) / total + 1e-4 * (t - prior)]
+            grads.insert(0, own * to_feature(back(p * weight[:, None])) / total + 3e-5 * w)
+            for x, g, (m, v), rate in zip((w, t), grads, moments, (0.12, 0.05)):
+                m += 0.1 * (g - m)
+                v += 0.01 * (g * g - v)
+                x -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
+        return Field(languages, {self.names[i]: k for k, i in enumerate(ids)}, w, t)
+
+    def scores(self, field: Field) -> np.ndarray:
+        to_sentence, _ = _Sum(self.sentence, self.word, self.n, len(self.vocabulary))
+        return to_sentence(field.words(self.vocabulary))
+
+
+def _Sum(rows: np.ndarray, columns: np.ndarray, n_rows: int, n_columns: int):
+    """The two products with a sparse matrix of ones: of its columns' values by row, and of its rows' values by column."""
+
+    def product(to: np.ndarray, of: np.ndarray, n: int):
+        order = np.argsort(to, kind="stable")
+        targets, first = np.unique(to[order], return_index=True)
+        source = of[order]
+        edges = [*range(0, len(targets), 20_000), len(targets)]
+        bounds = np.append(first, len(source))
+
+        def run(x: np.ndarray) -> np.ndarray:
+            out = np.zeros((n, x.shape[1]), x.dtype)
+            for a, z in zip(edges, edges[1:]):
+                out[targets[a:z]] = np.add.reduceat(x[source[bounds[a] : bounds[z]]], first[a:z] - first[a])
+            return out
+
+        return run
+
+    return product(rows, columns, n_rows), product(columns, rows, n_columns)
+
+
+class _Chains:
+    """Forward-backward over many documents at once: step i of all documents that have it."""
+
+    def __init__(self, doc: np.ndarray, use: np.ndarray):
+        places = np.flatnonzero(use)
+        begins = np.flatnonzero(np.diff(doc[places], prepend=-1))
+        lengths = np.diff(np.append(begins, len(places)))
+        order = np.argsort(-lengths, kind="stable")
+        self.n = len(use)
+        self.steps = [places[begins[order[: int((lengths > i).sum())]] + i] for i in range(int(lengths.max()) if len(lengths) else 0)]
+
+    def counted(self, y: np.ndarray, n: int) -> np.ndarray:
+        out = np.zeros((n, n))
+        for a, b in zip(self.steps, self.steps[1:]):
+            np.add.at(out, (y[a[: len(b)]], y[b]), 1)
+        return out
+
+    def expected(self, z: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(posterior of every sentence, expected number of every transition) under scores and transitions."""
+        e = np.exp(z.astype(np.float64) - z.max(1, keepdims=True))
+        move = np.exp(t - t.max())
+        ahead, p = np.ones_like(e), np.zeros_like(e)
+        forward: list[np.ndarray] = []
+        for i, at in enumerate(self.steps):
+            x = e[at] if i == 0 else (forward[-1][: len(at)] @ move) * e[at]
+            forward.append(x / x.sum(1, keepdims=True))
+        moved = np.zeros_like(move)
+        for i in range(len(self.steps) - 1, -1, -1):
+            at = self.steps[i]
+            both = forward[i] * ahead[at]
+            p[at] = both / both.sum(1, keepdims=True)
+            if i:
+                x = e[at] * ahead[at]
+                before = self.steps[i - 1][: len(at)]
+                back = x @ move.T
+                norm = (forward[i - 1][: len(at)] * back).sum(1, keepdims=True)
+                moved += (forward[i - 1][: len(at)] / norm).T @ x
+                ahead[before] = back / back.sum(1, keepdims=True)
+        return p, moved * move
+
+
+def _posteriors(sizes: Sequence[int], scores: np.ndarray, transitions: np.ndarray) -> np.ndarray:
+    """Posterior of the language of every sentence; ``sizes``: the number of sentences of each document."""
+    if not len(scores):
+        return scores.astype(np.float64)
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    return _Chains(doc, np.ones(len(scores), bool)).expected(scores, transitions)[0]
 
 
 def _sentences(text: str) -> tuple[list[int], list[list[str]]]:
@@ -183,51 +302,37 @@ def _sentences(text: str) -> tuple[list[int], list[list[str]]]:
     return starts, [_WORD.findall(text[a:b].lower()) for a, b in zip(starts, ends)]
 
 
-def fit(sample: Sequence[tuple[str, str]], languages: Sequence[str]) -> Field:
+def fit(sample: Sequence[tuple[str, str]], languages: Sequence[str], rounds: int = 35) -> Field:
     """Fit the field on (text, language) pairs, some of which may be wrong."""
     languages = sorted(languages)
     code = {c: i for i, c in enumerate(languages)}
-    docs = [(_sentences(t)[1], code[c]) for t, c in sample if t and t.strip() and c in code]
-
-    def once(use: list[tuple[list[str], int]]) -> Field:
-        y = np.array([label for _, label in use], np.int64)
-        rows, counts = _design([ws for ws, _ in use])
-        index = {f: i for i, f in enumerate(sorted(f for f, c in counts.items() if c > 1))}
-        return Field(list(languages), index, _fit_weights(rows, index, y, len(languages)) if len(y) else np.zeros((len(index), len(languages)), np.float32))
-
-    def scores(field: Field, use: list[int]) -> list[np.ndarray]:
-        every = _Scorer(field)([ws for i in use for ws in docs[i][0]])
-        return np.split(every, np.cumsum([len(docs[i][0]) for i in use])[:-1]) if use else []
-
-    def labelled(use: list[int]) -> list[tuple[list[str], int]]:
-        return [(ws, docs[i][1]) for i in use for ws in docs[i][0] if ws]
-
-    halves = [list(range(0, len(docs), 2)), list(range(1, len(docs), 2))]
-    pure = []
-    for mine, other in (halves, halves[::-1]):  # each half is judged by the field of the other
-        field = once(labelled(other))
-        for i, s in zip(mine, scores(field, mine)):
-            best = _chain(s.astype(np.float64), 0.02)[0].argmax(1)
-            pure += [(ws, docs[i][1]) for ws, y in zip(docs[i][0], best) if ws and y == docs[i][1]]
-    field = once(pure or labelled(list(range(len(docs)))))
-    every = list(range(len(docs)))
-    kept = [s.astype(np.float64) for s in scores(field, every) if len(s) > 1]
-    for _ in range(6):
-        moved = sum(_chain(s, field.switch)[1] for s in kept)
-        steps = sum(len(s) - 1 for s in kept)
-        if steps:
-            field.switch = float(min(max(moved / steps, 1e-4), 0.2))
-    return field
+    pairs = [(ws, code[c]) for t, c in sample if t and t.strip() and c in code and (ws := _sentences(t)[1])]
+    n = len(languages)
+    if not pairs:
+        return Field(list(languages), {}, np.zeros((0, n), np.float32), _transitions(n))
+    data = _Sample([ws for ws, _ in pairs])
+    given = np.array([c for _, c in pairs], np.int64)[data.doc]
+    data.native(given, n)
+    half = data.doc % 2
+    sure = np.zeros(data.n, bool)
+    for mine in (0, 1):  # each half is judged by the field of the other
+        own = half == mine
+        field = data.fit(given, ~own if (~own).any() else own, languages, rounds, chains=False)
+        if own.any():
+            scores, doc = data.scores(field)[own], data.doc[own]
+            sizes = np.bincount(doc)[np.unique(doc)]
+            sure[own] = _posteriors(sizes, scores, field.transitions).argmax(1) == given[own]
+    return data.fit(given, sure, languages, rounds, chains=True)
 
 
 def train(docs: DataFrame, codes: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Field:
     """Fit the field on at most ``per_language`` different labelled texts of each language, those of the least hashes."""
-    labelled = docs.select("text", label_code(F.col("lang"), codes).alias("code")).where(f"code is not null and length(trim(text)) > 20 and length(text) <= {SAMPLE_CHARS}")
+    labelled = docs.select("text", label_code(F.col("lang"), codes).alias("code")).where(f"code is not null and length(trim(text)) >= {SAMPLE_LEAST} and length(text) <= {SAMPLE_CHARS}")
     # Copies of a text count once; its hash stands for it until the sample is known.
     hashes = labelled.select("code", F.xxhash64("text").alias("h")).distinct()
     counts = {r["code"]: r["n"] for r in hashes.groupBy("code").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return Field([r["code"] for r in codes.select("code").where("code is not null").collect()], {}, np.zeros((0, codes.where("code is not null").count()), np.float32))
+        return Field([r["code"] for r in codes.select("code").where("code is not null").collect()], {}, np.zeros((0, (n := codes.where("code is not null").count())), np.float32), _transitions(n))
     nth = F.row_number().over(Window.partitionBy("code").orderBy("h"))
     drawn = hashes.withColumn("nth", nth).where(F.col("nth") <= per_language).select("code", "h")
     rows = labelled.withColumn("h", F.xxhash64("text")).join(F.broadcast(drawn), ["code", "h"]).select("code", "text").distinct().collect()  # per_language a language
@@ -257,8 +362,9 @@ class _Scorer:
         new = {w for ws in sentences for w in ws if w not in at}
         if len(at) + len(new) > len(self.table):
             self.table = np.concatenate([self.table, np.zeros((len(self.table) + len(new), self.table.shape[1]), np.float32)])
-        for w in new:
-            self.table[len(at)] = self.field.word(w)
+        fresh = sorted(new)
+        self.table[len(at) : len(at) + len(fresh)] = self.field.words(fresh)
+        for w in fresh:
             at[w] = len(at)
         flat = np.fromiter((at[w] for ws in sentences for w in ws), np.int64)
         sizes = np.array([len(ws) for ws in sentences])
@@ -273,12 +379,22 @@ class _Scorer:
 _RUNS = pa.list_(pa.struct([("start_char", pa.int32()), ("end_char", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64())]))
 
 
-def _runs(text: str, starts: list[int], posterior: np.ndarray, worded: np.ndarray, languages: list[str]) -> list[dict]:
-    """Maximal runs of one language; sentences without evidence go with the run before them."""
+def _runs(text: str, starts: list[int], posterior: np.ndarray, worded: np.ndarray, leaning: np.ndarray, languages: list[str]) -> list[dict]:
+    """Maximal runs of one language.
+
+    A sentence without evidence of its own goes with the run before it, or begins the one behind it if the
+    chain gives it that language and the sentence leans to one.
+    """
     best = posterior.argmax(1)
     runs: list[list] = []
+    ahead = -1
+    behind = np.empty(len(starts), np.int64)  # language of the next sentence with evidence
+    for i in range(len(starts) - 1, -1, -1):
+        behind[i] = ahead
+        if worded[i]:
+            ahead = best[i]
     for i, s in enumerate(starts):
-        if not worded[i]:
+        if not worded[i] and not (leaning[i] and runs and best[i] == behind[i]):
             continue
         if runs and runs[-1][1] == best[i]:
             runs[-1][2].append(posterior[i, best[i]])
@@ -317,18 +433,19 @@ def identify(docs: DataFrame, field: Field, key: str = "doc_id") -> DataFrame:
                     starts.append(s)
                     words.extend(ws)
                 scores = score(words)
+                posteriors = _posteriors([len(s) for s in starts if s], scores, model.transitions) if model.languages else scores
                 two = np.sort(scores, axis=1)[:, -2:] if scores.shape[1] > 1 else np.concatenate([scores - 9, scores], axis=1)
                 has = np.array([bool(ws) for ws in words], bool)
-                worded = has & (two[:, 1] - two[:, 0] >= EVIDENCE)
+                lead = two[:, 1] - two[:, 0]
+                worded = has & (lead >= EVIDENCE)
                 langs, trust, runs = [], [], []
                 begin = 0
                 for t, s in zip(texts, starts):
                     end = begin + len(s)
                     found: list[dict] = []
                     if len(s) and has[begin:end].any() and model.languages:
-                        posterior, _ = _chain(scores[begin:end].astype(np.float64), model.switch)
                         use = worded[begin:end] if worded[begin:end].any() else has[begin:end]
-                        found = _runs(t, s, posterior, use, model.languages)
+                        found = _runs(t, s, posteriors[begin:end], use, lead[begin:end] >= LEANING, model.languages)
                     begin = end
                     runs.append(found)
                     size: Counter = Counter()
