@@ -12,7 +12,7 @@ def test_shared_runs_against_brute_force(spark):
     common = [word(40), word(29), word(75)]
     rows = [(i, f"o{i % 9}", word(rng.randrange(0, 60)) + rng.choice([*common, ""]) + word(rng.randrange(0, 40))) for i in range(60)] + [(90, None, None), (91, "x", ""), (92, "y", "a" * 500), (93, "z", "a" * 400)]
     df = spark.createDataFrame([(*r, 1) for r in rows + rows[:5]], "record long, owner string, text string, owner_id int")
-    got = {(r["record_a"], r["record_b"]) for r in spans.shared_runs(df, 30).select("record_a", "record_b").distinct().collect()}
+    got = {(r["record_a"], r["record_b"]) for r in spans.shared_pairs(df, 30).collect()}
     texts = {r[0]: (r[1], r[2] or "") for r in rows}
     want = set()
     for a, (oa, ta) in texts.items():
@@ -49,6 +49,32 @@ def test_recurring_passages_stay_in_their_first_record(spark):
         assert r["kept"] == (r["first_record"] == r["record"])
 
 
+def test_copies_of_a_passage_are_not_paired(spark):
+    x, n = "".join(chr(97 + (i * 7) % 23) + str(i) for i in range(120)), 3000
+    df = spark.createDataFrame([(i, f"o{i}", x) for i in range(n)], "record long, owner string, text string")
+    found = spans.shared_places(df, 150)
+    assert found.links.count() < 100 and found.members.select("record").distinct().count() == n
+    rows = spans.shared_spans(df, 150)
+    assert rows.where("kept").count() == 1 and rows.where(f"not kept and first_record = 0 and shared_chars = {len(x)}").count() == n - 1
+
+
+def test_spans_against_brute_force(spark):
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    common = [word(45), word(70), word(33)]
+    rows = [(i, f"o{rng.randrange(6)}", word(rng.randrange(0, 40)) + rng.choice(common)[rng.randrange(5) :] + word(rng.randrange(0, 20)) + rng.choice([*common, ""])) for i in range(50)]
+    shared = {i: set() for i, _, _ in rows}
+    for i, o, t in rows:
+        for j, p, u in rows:
+            if o != p:
+                shared[i] |= {x + y for x in range(len(t) - 29) if t[x : x + 30] in u for y in range(30)}
+    got = {i: set() for i, _, _ in rows}
+    df = spark.createDataFrame(rows, "record long, owner string, text string")
+    for r in spans.shared_spans(df, 30).where("start_char is not null").collect():
+        got[r["record"]] |= set(range(r["start_char"], r["end_char"]))
+    assert got == shared
+
+
 def test_canonical_text():
     same = [("ｌｏｇ", "log"), ("café", "café"), ("a​b", "ab"), ("a  b ", "a b"), ("рауѕе", "paуѕe"), ("ﬁne", "fine"), ("Ω", "Ω"), ("co‑op", "co-op"), ("が", "が"), ("“x”", '"x"'), ("е́", "é")]
     for a, b in same:
@@ -64,6 +90,29 @@ def test_canonical_text():
         assert c == " ".join(canonical._normalise(t).split(" ")).strip() or "  " in canonical._normalise(t)
 
 
+def test_chains_against_enumeration():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    sizes, n = [3, 1, 4], 3
+    z, t = rng.normal(size=(sum(sizes), n)), rng.normal(size=(n, n))
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    p, moved = language._Chains(doc, np.ones(len(doc), bool)).expected(z, t)
+    want, steps, at = np.zeros_like(z), np.zeros((n, n)), 0
+    for size in sizes:
+        paths = list(itertools.product(range(n), repeat=size))
+        weights = np.exp([sum(z[at + i, y] for i, y in enumerate(path)) + sum(t[a, b] for a, b in zip(path, path[1:])) for path in paths])
+        for path, w in zip(paths, weights / weights.sum()):
+            for i, y in enumerate(path):
+                want[at + i, y] += w
+            for a, b in zip(path, path[1:]):
+                steps[a, b] += w
+        at += size
+    assert np.allclose(p, want) and np.allclose(moved, steps)
+
+
 def test_consensus(spark):
     rng = random.Random(2)
     rows = []
@@ -81,6 +130,10 @@ def test_consensus(spark):
     assert sum(got[c] == t for c, t in truths.items()) > 140
     trust = {r["annotator"]: r["competence"] for r in fitted.annotators().collect()}
     assert trust["spam1"] < 0.3 < 0.6 < trust["ann"]
+    # The mixture as a table, for any number of annotators, comes to the same.
+    table = consensus.consensus(votes, iterations=12, most_sent=2)
+    assert {r["claim"]: (r["verdict"], round(r["confidence"], 6), r["reviewers"]) for r in table.items().collect()} == {r["claim"]: (r["verdict"], round(r["confidence"], 6), r["reviewers"]) for r in fitted.items().collect()}
+    assert all(abs(r["competence"] - trust[r["annotator"]]) < 1e-9 for r in table.annotators().collect())
 
 
 def test_sentences(spark):
@@ -125,8 +178,8 @@ def test_language():
     field = language.fit([(t, "en") for t in en] + [(t, "nl") for t in nl] + [(t, "ru") for t in ru] + [(en[0], "nl")], ["en", "nl", "ru"])
     text = " " + en[0] + " " + nl[0]
     starts, words = language._sentences(text)
-    p, _ = language._chain(language._Scorer(field)(words).astype("float64"), field.switch)
-    runs = language._runs(text, starts, p, p.max(1) > 0, field.languages)
+    p = language._posteriors([len(starts)], language._Scorer(field)(words), field.transitions)
+    runs = language._runs(text, starts, p, p.max(1) > 0, p.max(1) > 0, field.languages)
     assert [(r["start_char"], r["lang"]) for r in runs] == [(1, "en"), (len(en[0]) + 2, "nl")]
 
 
