@@ -16,7 +16,7 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return spans.shared_runs(_records(spark, d)).select("record_a", "record_b").distinct()
+    return spans.shared_pairs(_records(spark, d))
 
 
 def p1_spans(spark: SparkSession, d: str) -> DataFrame:

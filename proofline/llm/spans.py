@@ -6,23 +6,27 @@ start and end anywhere, so a fixed unit would miss most of them.  The unit here
 ``UNIT`` characters at places the content itself chooses: of every ``WINDOW`` consecutive grams the
 one with the least hash.  Any verbatim run of ``UNIT + WINDOW - 1`` characters contains a whole window
 and so at least one chosen unit, in both records at the same place of the run.  Digests of the units
-are grouped globally; units whose digest occurs in more than one group of records are laid beside
-each other with their surroundings, and the true extent of the run is compared character by character.
+are grouped globally; of units whose digest occurs in more than one group of records, the different
+spellings of their surroundings are laid beside each other, and the true extent of the run is compared
+character by character.  Records are members of such spellings; pairs of records are formed only where
+they are asked for.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofline.functions.grams import chosen
+from proofline.session import cut_lineage
 
-HOT = 512  # occurrences of one digest that a single task pairs; beyond it the digest is split by salt
+HOT = 512  # spellings of one unit's surroundings that a single task pairs; beyond it they are split by salt
 _CHUNK = 1 << 23  # characters fingerprinted at once
 
 
@@ -73,20 +77,33 @@ def _extent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ahead += 1
             left.append(back)
             size.append(back + ahead)
-        out = [batch.column(c) for c in ("record_a", "record_b", "pos_a", "pos_b")]
-        yield pa.record_batch([*out, pa.array(left, pa.int32()), pa.array(size, pa.int32())], names=["record_a", "record_b", "pos_a", "pos_b", "back", "size"])
+        yield pa.record_batch([batch.column("a_place"), batch.column("b_place"), pa.array(left, pa.int32()), pa.array(size, pa.int32())], names=["a_place", "b_place", "back", "size"])
 
 
-def shared_runs(records: DataFrame, least: int = 150) -> DataFrame:
-    """Stretches of verbatim runs of ``least`` characters or more between records of different owners.
+@dataclass(frozen=True)
+class Links:
+    """What recurs, without the pairs: ``members`` (place, record, owner, pos) and ``links`` (a, b, back, size).
+
+    A place is one spelling of a unit with its surroundings; its members are all copies of it.  A link says
+    that members of place a and b share ``size`` characters, which begin ``back`` characters before the
+    unit; a place of several owners is linked with itself.  ``places`` (place, first, second, owner, members):
+    the lowest record of a place and its owner, the lowest of another owner, and a digest of all records.
+    """
+
+    members: DataFrame
+    places: DataFrame
+    links: DataFrame
+
+
+def shared_places(records: DataFrame, least: int = 150) -> Links:
+    """Where verbatim runs of ``least`` characters or more recur between records of different owners.
 
     ``records`` has record (long, one content each; repeated rows are harmless), owner (string) and
-    text; other columns are ignored.  Result: record_a, record_b (record_a < record_b), start_a,
-    start_b, size: one row for every unit that a run contains, each stretch a part of a run and at
-    least ``least`` long; the stretches of a run overlap and their union is the run.  Texts are
-    compared as stored.  Null and shorter texts share nothing; records without an owner are of one
-    unnamed owner.  Cost follows the number of stretches that come out: no bound is put on partners,
-    and digests of more than ``HOT`` occurrences are split by salt.
+    text; other columns are ignored.  Texts are compared as stored.  Null and shorter texts share
+    nothing; records without an owner are of one unnamed owner.  Copies of a unit with the same
+    surroundings are one place, and only places are laid beside each other, so the work follows the number
+    of different texts, not that of pairs of copies.  No bound is put on partners; units of more than
+    ``HOT`` places are split by salt.
     """
     if least < 4:
         raise ValueError("least must be 4 or more")
@@ -95,37 +112,63 @@ def shared_runs(records: DataFrame, least: int = 150) -> DataFrame:
     around = least - k
     texts = records.select("record", F.xxhash64(F.coalesce("owner", F.lit(""))).alias("owner"), "text").where(F.length("text") >= least)
     marks = texts.mapInArrow(_fingerprints(k, window), "record long, owner long, pos int, digest long").repartition("digest")
-    recurring = (
-        marks.groupBy("digest")
-        .agg(F.min("owner").alias("lo"), F.max("owner").alias("hi"), F.count("*").alias("n"))
-        .where("lo <> hi")
-        .select("digest", F.ceil(F.col("n") / HOT).cast("int").alias("salts"))
-    )
+    recurring = marks.groupBy("digest").agg(F.min("owner").alias("lo"), F.max("owner").alias("hi")).where("lo <> hi").select("digest")
     units = marks.join(recurring, "digest")
-    beside = (
-        units.join(texts.select("record", "text").dropDuplicates(["record"]), "record")
-        .select(
-            "digest", "salts", "record", "owner", "pos",
-            F.least("pos", F.lit(around)).alias("gram"),
-            F.expr(f"substring(text, greatest(pos - {around}, 0) + 1, least(pos, {around}) + {k + around})").alias("text"),
-        )
-        .dropDuplicates(["record", "pos"])
+    beside = units.join(texts.select("record", "text").dropDuplicates(["record"]), "record").select(
+        "digest", "record", "owner", "pos", F.least("pos", F.lit(around)).alias("gram"),
+        F.expr(f"substring(text, greatest(pos - {around}, 0) + 1, least(pos, {around}) + {k + around})").alias("text"),
+    ).dropDuplicates(["record", "pos"])
+    beside = cut_lineage(beside.withColumn("place", F.xxhash64("digest", "gram", "text")))
+    places = beside.groupBy("place", "digest").agg(
+        F.min("text").alias("text"), F.min("gram").alias("gram"), F.min(F.struct("record", "owner")).alias("low"),
+        F.sum(F.xxhash64("record").cast("decimal(38,0)")).cast("string").alias("members"), F.min("owner").alias("lo"), F.max("owner").alias("hi"),
     )
-    one = beside.withColumn("salt", F.pmod(F.xxhash64("record", "pos"), F.col("salts")).cast("int"))
-    other = beside.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    low = F.min(F.struct("record", "owner")).over(Window.partitionBy("place"))
+    second = beside.select("place", "record", "owner", low.alias("low")).where("owner <> low.owner").groupBy("place").agg(F.min("record").alias("second"))
+    per_digest = places.groupBy("digest").agg(F.ceil(F.count("*") / HOT).cast("int").alias("salts"), F.count("*").alias("n")).where("n > 1").select("digest", "salts")
+    several = places.join(per_digest, "digest")
+    one = several.withColumn("salt", F.pmod(F.xxhash64("place"), F.col("salts")).cast("int"))
+    other = several.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     a, b = one.alias("a"), other.alias("b")
-    pairs = a.join(
-        b,
-        (F.col("a.digest") == F.col("b.digest")) & (F.col("a.salt") == F.col("b.salt")) & (F.col("a.record") != F.col("b.record")) & (F.col("a.owner") != F.col("b.owner"))
-        & (F.col("a.record") < F.col("b.record")),
-    ).select(
-        F.col("a.record").alias("record_a"), F.col("b.record").alias("record_b"), F.col("a.pos").alias("pos_a"), F.col("b.pos").alias("pos_b"),
-        F.col("a.text").alias("a_text"), F.col("a.gram").alias("a_gram"), F.col("b.text").alias("b_text"), F.col("b.gram").alias("b_gram"), F.lit(k).alias("k"),
+    # Two places that one and the same owner holds alone share nothing between owners.
+    alone = (F.col("a.lo") == F.col("a.hi")) & (F.col("b.lo") == F.col("b.hi")) & (F.col("a.lo") == F.col("b.lo"))
+    pairs = a.join(b, (F.col("a.digest") == F.col("b.digest")) & (F.col("a.salt") == F.col("b.salt")) & (F.col("a.place") < F.col("b.place")) & ~alone).select(
+        F.col("a.place").alias("a_place"), F.col("b.place").alias("b_place"), F.col("a.text").alias("a_text"), F.col("a.gram").alias("a_gram"),
+        F.col("b.text").alias("b_text"), F.col("b.gram").alias("b_gram"), F.lit(k).alias("k"),
     )
-    extents = pairs.mapInArrow(_extent, "record_a long, record_b long, pos_a int, pos_b int, back int, size int")
-    return extents.where(F.col("size") >= least).select(
-        "record_a", "record_b", (F.col("pos_a") - F.col("back")).alias("start_a"), (F.col("pos_b") - F.col("back")).alias("start_b"), "size"
-    )
+    between = pairs.mapInArrow(_extent, "a_place long, b_place long, back int, size int").toDF("a", "b", "back", "size")
+    within = places.where("lo <> hi").select(F.col("place").alias("a"), F.col("place").alias("b"), F.col("gram").alias("back"), F.length("text").alias("size"))
+    found = places.join(second, "place", "left").select("place", F.col("low.record").alias("first"), F.col("low.owner").alias("owner"), "second", "members")
+    return Links(beside.select("place", "record", "owner", "pos"), found, between.unionAll(within).where(F.col("size") >= least))
+
+
+def shared_pairs(records: DataFrame, least: int = 150) -> DataFrame:
+    """(record_a, record_b), record_a < record_b: records of different owners that share a verbatim run, each pair once.
+
+    For ``records`` and ``least`` see ``shared_places``.  Places with the same records are expanded once.
+    """
+    found = shared_places(records, least)
+    digests = found.places.select("place", "members")
+    links = found.links.select("a", "b").join(digests.toDF("a", "a_members"), "a").join(digests.toDF("b", "b_members"), "b").dropDuplicates(["a_members", "b_members"]).select("a", "b")
+    left, right = (found.members.select(F.col("place").alias(x), F.col("record").alias(f"{x}_record"), F.col("owner").alias(f"{x}_owner")) for x in "ab")
+    rows = links.join(left, "a").join(right, "b").where("a_record <> b_record and a_owner <> b_owner")
+    return rows.select(F.least("a_record", "b_record").alias("record_a"), F.greatest("a_record", "b_record").alias("record_b")).distinct()
+
+
+def _stretches(records: DataFrame, least: int) -> DataFrame:
+    """(record, start, stop, first): stretches of what a record shares with others, each with the lowest record that holds it."""
+    found = shared_places(records, least)
+    both = found.links.select(F.col("a").alias("place"), F.col("b").alias("other"), "back", "size").unionAll(
+        found.links.where("a <> b").select(F.col("b").alias("place"), F.col("a").alias("other"), "back", "size"))
+    holders = both.join(found.places.select(F.col("place").alias("other"), "first", "second", "owner"), "other")
+    # Of all places that share the same stretch with a place: the lowest record, and the lowest of another owner.
+    same = Window.partitionBy("place", "back", "size")
+    low = F.min(F.struct("first", "owner")).over(same)
+    others = F.when(F.col("owner") != F.col("low.owner"), F.col("first")).otherwise(F.col("second"))
+    per = holders.withColumn("low", low).groupBy("place", "back", "size").agg(F.min("low").alias("low"), F.min(others).alias("second"))
+    rows = found.members.join(per, "place").withColumn("partner", F.when(F.col("owner") != F.col("low.owner"), F.col("low.first")).otherwise(F.col("second")))
+    start = F.col("pos") - F.col("back")
+    return rows.where("partner is not null").groupBy("record", start.alias("start"), (start + F.col("size")).alias("stop")).agg(F.min(F.least("partner", "record")).alias("first"))
 
 
 def _covered(stretches: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -196,12 +239,10 @@ def shared_spans(records: DataFrame, least: int = 150) -> DataFrame:
     One row per record and span: record, start_char, end_char (0-based, end excluded, in the stored
     text), first_record (the lowest record number among those that hold the passages of the span, itself
     included), kept (this record is that first one), shared_chars and shared_share of the whole
-    record.  Spans of different holders touch and do not overlap.  Records that share nothing have one row with a null span and shared_chars 0; the share of
-    a null or empty text is 0.
+    record.  Spans of different holders touch and do not overlap.  Records that share nothing have one row
+    with a null span and shared_chars 0; the share of a null or empty text is 0.
     """
-    runs = shared_runs(records, least)
-    sides = runs.select("record_a", "record_b", F.explode(F.array(F.struct(F.col("record_a").alias("record"), F.col("start_a").alias("start")), F.struct(F.col("record_b").alias("record"), F.col("start_b").alias("start")))).alias("s"), "size")
-    stretches = sides.select("s.record", "s.start", (F.col("s.start") + F.col("size")).alias("stop"), F.col("record_a").alias("first")).groupBy("record", "start", "stop").agg(F.min("first").alias("first"))
+    stretches = _stretches(records, least)
     ordered = stretches.repartition("record").sortWithinPartitions("record", "start", "stop")
     spans = ordered.mapInArrow(_held(least), "record long, start_char int, end_char int, first_record long").withColumn("kept", F.col("first_record") == F.col("record"))
     total = spans.groupBy("record").agg(F.sum(F.col("end_char") - F.col("start_char")).alias("shared_chars"))
