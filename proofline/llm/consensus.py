@@ -2,16 +2,22 @@
 
 A verdict is either truthful (with the reviewer's competence) or drawn from the reviewer's own guess
 distribution.  Expectation-maximisation yields the posterior of every claim's true verdict and both
-properties of every reviewer.  One iteration is one pass over the verdicts, which lie partitioned by
-claim: the evidence on a claim is summed in a window over its verdicts, the expected counts are
-pre-aggregated before the only shuffle, which carries one row per reviewer and task.
+properties of every reviewer.
+
+Every claim is one row with the arrays of its reviewers and verdicts, written once.  One iteration is one
+pass over these rows: with all reviewers' properties at hand a claim needs no other row, and what moves are
+the expected counts, one row per reviewer and task.  The properties are sent to the tasks while the
+number of reviewers, which is counted, keeps within ``MOST_SENT``; beyond it they stay a table that is
+joined with the verdicts (``Consensus``), with the same result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +26,8 @@ from proofline.session import cut_lineage
 # The verdicts a review may give.
 VERDICTS = ("supported", "partial", "unsupported", "unclear")
 
+MOST_SENT = 200_000  # reviewers whose properties (n + 1 numbers each) are sent to all tasks
+
 _TINY = 1e-12
 
 
@@ -129,10 +137,129 @@ class Consensus:
         return self.parameters.select("annotator", "competence", "accuracy", "votes", "guesses")
 
 
-def consensus(votes: DataFrame, labels: Sequence[str] = VERDICTS, iterations: int = 50, tolerance: float = 1e-3) -> Consensus:
+def _expected(who: np.ndarray, y: np.ndarray, sizes: np.ndarray, competence: np.ndarray, guesses: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(posterior of every item, and of every vote the chances that it is right and that it was truthful)."""
+    c = competence[who]
+    spam = (1 - c)[:, None] * guesses[who]
+    at = np.arange(len(who))
+    like = np.log(spam[at, y] + _TINY)[:, None] * np.eye(guesses.shape[1])[y]  # of a wrong truth a vote tells by guess only
+    own = np.log(c + spam[at, y] + _TINY)
+    item = np.repeat(np.arange(len(sizes)), sizes)
+    total = np.bincount(item, weights=like.sum(1), minlength=len(sizes))[:, None] + np.zeros(guesses.shape[1])
+    np.add.at(total, (item, y), own - like.sum(1))
+    total += np.log(prior + _TINY)
+    q = np.exp(total - total.max(1, keepdims=True))
+    q /= q.sum(1, keepdims=True)
+    right = q[item, y]
+    return q, right, right * c / (c + spam[at, y] + _TINY)
+
+
+def _votes_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    who, y = (batch.column(c) for c in ("who", "what"))
+    sizes = np.diff(who.offsets.to_numpy(zero_copy_only=False))
+    return who.flatten().to_numpy(zero_copy_only=False), y.flatten().to_numpy(zero_copy_only=False), sizes
+
+
+class Compact(Consensus):
+    """The same mixture with one row per item and the annotators' properties on the driver; for up to ``MOST_SENT`` annotators."""
+
+    def __init__(self, votes: DataFrame, labels: Sequence[str], iterations: int, tolerance: float, names: Sequence[str]):
+        self.labels, self.names = list(labels), list(names)
+        self.items_by = [c for c in votes.columns if c not in ("annotator", "label")]
+        self.spark = votes.sparkSession
+        index = self.spark.createDataFrame(pa.table({"annotator": pa.array(self.names, pa.string()), "at": pa.array(range(len(self.names)), pa.int32())}))
+        label = reduce(lambda e, i: e.when(F.col("label") == self.labels[i], i), range(1, len(labels)), F.when(F.col("label") == labels[0], 0))
+        coded = votes.join(F.broadcast(index), "annotator").select(*self.items_by, "at", label.alias("y"))  # at most MOST_SENT names
+        pairs = F.array_sort(F.collect_list(F.struct("at", "y")))
+        rows = coded.groupBy(*self.items_by).agg(pairs.alias("v"))
+        self.rows = cut_lineage(rows.select(*self.items_by, F.col("v.at").alias("who"), F.col("v.y").alias("what")))
+        self.iterations, self.tolerance = iterations, tolerance
+        self.rounds, self.moved = 0, float("nan")
+
+    def _sums(self, competence: np.ndarray, guesses: np.ndarray, prior: np.ndarray) -> np.ndarray:
+        """Per annotator: votes, truthful ones, right ones, guessed ones by label, and the items' posteriors by label."""
+        n, m = len(self.labels), len(self.names)
+        given = self.spark.sparkContext.broadcast((competence, guesses, prior))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros((3 + 2 * n, m))
+            for batch in batches:
+                who, y, sizes = _votes_of(batch)
+                if not len(who):
+                    continue
+                q, right, honest = _expected(who, y, sizes, *given.value)
+                out[0] += np.bincount(who, minlength=m)
+                out[1] += np.bincount(who, weights=honest, minlength=m)
+                out[2] += np.bincount(who, weights=right, minlength=m)
+                np.add.at(out[3 : 3 + n], (y, who), 1 - honest)
+                share = np.repeat(q / sizes[:, None], sizes, axis=0)
+                for t in range(n):
+                    out[3 + n + t] += np.bincount(who, weights=share[:, t], minlength=m)
+            some = np.flatnonzero(out[0])
+            yield pa.record_batch([pa.array(some, pa.int32()), *[pa.array(x[some]) for x in out]], names=["at", *[f"x{i}" for i in range(len(out))]])
+
+        names = [f"x{i}" for i in range(3 + 2 * n)]
+        parts = self.rows.select("who", "what").mapInArrow(run, "at int, " + ", ".join(f"{x} double" for x in names))
+        got = parts.groupBy("at").agg(*[F.sum(x).alias(x) for x in names]).toArrow()  # one row per annotator
+        given.destroy()
+        out = np.zeros((len(names), m))
+        out[:, got.column("at").to_numpy()] = [got.column(x).to_numpy() for x in names]
+        return out
+
+    def fit(self) -> Compact:
+        n, m = len(self.labels), len(self.names)
+        self.prior = np.full(n, 1 / n)
+        self.competence, self.guesses = np.full(m, 0.7), np.full((m, n), 1 / n)
+        self.votes_of, self.accuracy = np.zeros(m), np.zeros(m)
+        for self.rounds in range(1, self.iterations + 1):
+            if not m:
+                break
+            votes, true, hits, *rest = self._sums(self.competence, self.guesses, self.prior)
+            was, self.competence = self.competence, (true + 1) / (votes + 2)
+            spam = np.array(rest[:n]).T + 0.5
+            self.guesses = spam / spam.sum(1, keepdims=True)
+            mass = np.array(rest[n:]).sum(1)
+            self.prior = mass / mass.sum()
+            self.votes_of, self.accuracy = votes, hits / votes
+            self.moved = float(np.abs(self.competence - was).max())
+            if self.moved < self.tolerance:
+                break
+        return self
+
+    def items(self) -> DataFrame:
+        n = len(self.labels)
+        given = self.spark.sparkContext.broadcast((self.competence, self.guesses, self.prior))
+        labels, by = self.labels, self.items_by
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                who, y, sizes = _votes_of(batch)
+                q = _expected(who, y, sizes, *given.value)[0] if len(who) else np.zeros((0, n))
+                counts = np.zeros((len(sizes), n))
+                np.add.at(counts, (np.repeat(np.arange(len(sizes)), sizes), y), 1)
+                pairs = sizes * (sizes - 1.0)
+                agreement = np.divide((counts * (counts - 1)).sum(1), pairs, out=np.zeros(len(sizes)), where=pairs > 0)
+                verdict = pa.array([labels[i] for i in q.argmax(1)], pa.string())
+                columns = [verdict, pa.array(q.max(1) if len(q) else []), pa.array(agreement, mask=pairs == 0), pa.array(sizes, pa.int64())]
+                yield pa.record_batch([*[batch.column(c) for c in by], *columns], names=[*by, "verdict", "confidence", "agreement", "reviewers"])
+
+        kinds = dict(self.rows.dtypes)
+        schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in by], "verdict string, confidence double, agreement double, reviewers long"])
+        return self.rows.mapInArrow(run, schema)
+
+    def annotators(self) -> DataFrame:
+        columns = {"annotator": pa.array(self.names, pa.string()), "competence": pa.array(self.competence), "accuracy": pa.array(self.accuracy), "votes": pa.array(self.votes_of.astype(np.int64)), "guesses": pa.array(self.guesses.tolist(), pa.list_(pa.float64()))}
+        return self.spark.createDataFrame(pa.table(columns))
+
+
+def consensus(votes: DataFrame, labels: Sequence[str] = VERDICTS, iterations: int = 50, tolerance: float = 1e-3, most_sent: int = MOST_SENT) -> Consensus:
     """Fit the mixture on (item columns..., annotator, label), one row per item and annotator.
 
-    An empty table gives empty results.  The parameters stay a table: Spark broadcasts it while it is
-    below its size limit and shuffles otherwise.
+    An empty table gives empty results.  With more than ``most_sent`` annotators the parameters stay a
+    table.  ``rounds`` of the result tells how many iterations it took; fewer than ``iterations`` means
+    that no competence moved by ``tolerance`` in the last.
     """
-    return Consensus(votes, labels, iterations, tolerance).fit()
+    names = [r[0] for r in votes.select("annotator").distinct().limit(most_sent + 1).collect()]
+    if len(names) > most_sent:
+        return Consensus(votes, labels, iterations, tolerance).fit()
+    return Compact(votes, labels, iterations, tolerance, sorted(names)).fit()
