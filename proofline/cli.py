@@ -44,6 +44,8 @@ def _parser() -> argparse.ArgumentParser:
     c = s.add_parser("extract")
     c.add_argument("id")
     c.add_argument("--source", default="default")
+    c.add_argument("--write", action="store_true")
+    c.add_argument("--force", action="store_true")
     s.add_parser("schema")
     s.add_parser("doctor")
     return p
@@ -84,8 +86,7 @@ def main(args: list[str] | None = None) -> int:
         _show(found if a.format == "json" else render.proposal_lines(found).orderBy("id", "claim", "rank"), a.format, "line")
         return int(not parse_issues.isEmpty())
     if a.command == "extract":
-        _show(extract.page_markdown(corpus.pages.where((F.col("id") == a.id) & (F.col("source") == a.source)), cfg.normalization), a.format, "markdown")
-        return 0
+        return _extract(a, cfg, root, corpus)
     literal = spark.createDataFrame([(0, a.id, a.exact)], "literal int, id string, exact string")
     units = corpus.units.where(F.col("source") == a.source)
     if a.line is not None:
@@ -97,16 +98,60 @@ def main(args: list[str] | None = None) -> int:
     if a.page is not None:
         pages = pages.where(F.col("page") == a.page)
     at_pages = locate.classify_pages(literal, locate.within(literal, pages.select("id", F.col("page").alias("key"), "text"), ["id"], cfg.normalization))
-    one = at_units.where("hits = 1").select("literal", "key.*")
-    if one.count() != 1 or at_pages.where("outcome = 'ok'").isEmpty():
-        print("the literal is not in exactly one unit and on exactly one page", file=sys.stderr)
+    units_one = at_units.where("hits = 1").select("literal", "key.*")
+    page = at_pages.where("outcome = 'ok'").select("literal", "page")
+    # A source whose summary or configuration has no Markdown is located on its page alone.
+    source = corpus.summaries.select(F.explode("sources").alias("s")).where(F.col("s.name") == a.source).select(F.col("s.markdown").isNotNull().alias("md")).first()
+    templates = cfg.corpus.sources.get(a.source)
+    markdown = source["md"] if source is not None else bool(templates and templates.markdown)
+    if (markdown and units_one.count() != 1) or page.isEmpty():
+        print(f"the literal is not {'in exactly one unit and ' if markdown else ''}on exactly one page", file=sys.stderr)
         return 1
     claims = corpus.claims().where(F.col("claim") == a.claim).select("id", "claim", F.col("claim_hash").alias("claim_sha256"))
-    rows = one.withColumn("id", F.lit(a.id)).join(at_pages.select("literal", "page"), "literal").join(claims, "id").withColumns({"source": F.lit(a.source), "exact": T.normalize(F.lit(a.exact), cfg.normalization), "backend": F.lit("mutool-native")})
+    if claims.isEmpty():
+        print(f"{a.id} has no {cfg.terms.claim} {a.claim}", file=sys.stderr)
+        return 1
+    units_of = units_one if markdown else units_one.limit(0)
+    boxes = pages.select(F.col("page"), "spans").groupBy("page").agg(F.first("spans").alias("spans")) if "spans" in pages.columns else None
+    rows = page.join(units_of, "literal", "left").withColumn("id", F.lit(a.id)).join(claims, "id")
+    rows = rows.withColumns({"source": F.lit(a.source), "exact": T.normalize(F.lit(a.exact), cfg.normalization), "backend": F.lit("mutool-native")})
+    if boxes is not None:
+        rows = rows.join(boxes, "page", "left").withColumn("bbox", locate.matching_bbox("spans", F.col("exact"), cfg.normalization))
     _show(render.located_record(rows, cfg.terms.claim), a.format, "record")
     return 0
 
 
+def _extract(a: argparse.Namespace, cfg: config.Config, root: Path, corpus) -> int:
+    """Prints the Markdown of a paper's pages, or writes it to the first Markdown path of its source."""
+    found = extract.page_markdown(corpus.pages.where((F.col("id") == a.id) & (F.col("source") == a.source)), cfg.normalization)
+    templates = cfg.corpus.sources.get(a.source)
+    if templates is None:
+        print(f"no source {a.source} is configured", file=sys.stderr)
+        return 1
+    pdf = templates.pdf.replace("{id}", a.id)
+    if corpus.files is not None:
+        digests = corpus.files.where(F.col("path") == pdf).select(F.lit(a.id).alias("id"), F.lit(a.source).alias("source"), F.col("path").alias("pdf"), "sha256")
+        found = extract.with_front_matter(found, digests)
+    row = found.first()  # one paper
+    if row is None or not row["paragraphs"]:
+        print(f"{pdf} has no text", file=sys.stderr)
+        return 1
+    if not a.write:
+        print(row["markdown"], end="")
+        return 0
+    if not templates.markdown:
+        print(f"{a.source} has no Markdown path", file=sys.stderr)
+        return 1
+    target = root / templates.markdown[0].replace("{id}", a.id)
+    try:
+        extract.write_text(target, row["markdown"], a.force)
+    except FileExistsError as e:
+        print(e, file=sys.stderr)
+        return 1
+    print(target)
+    return 0
+
+
 if __name__ == "__main__":
     try:
         sys.exit(main())

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,3 +34,18 @@ def with_front_matter(extracted: DataFrame, digests: DataFrame) -> DataFrame:
     """Adds the head that names the PDF and its hash; ``digests``: id, source, pdf, sha256."""
     head = F.format_string("---\nsource: %s\nsha256: %s\n---\n\n", "pdf", "sha256")
     return extracted.join(digests, ["id", "source"], "left").withColumn("markdown", F.concat(F.coalesce(head, F.lit("")), "markdown"))
+
+
+def write_text(path: Path, text: str, force: bool = False) -> None:
+    """Writes beside ``path`` and renames, so that a file is whole or not there; an existing one is kept unless ``force``."""
+    if path.exists() and not force:
+        raise FileExistsError(f"{path} exists")
+    path.parent.mkdir(parents=True, exist_ok=True)
+    handle, name = tempfile.mkstemp(dir=path.parent, prefix=f".{path.name}.")
+    try:
+        with os.fdopen(handle, "w", encoding="utf-8") as f:
+            f.write(text)
+        os.replace(name, path)
+    except BaseException:
+        os.unlink(name)
+        raise

@@ -38,7 +38,7 @@ def proposal_lines(accepted: DataFrame) -> DataFrame:
 def located_record(rows: DataFrame, claim_term: str = "claim") -> DataFrame:
     """(id, record): the evidence record of located literals as JSON, in the configured vocabulary."""
     md = F.struct("line", F.col("col").alias("column"), "unit", F.when(F.size("section") > 0, F.col("section")).alias("section"))
-    locator = F.struct("source", "exact", F.when(F.col("line").isNotNull(), md).alias("markdown"), F.struct("page", "backend").alias("pdf"))
+    locator = F.struct("source", "exact", F.when(F.col("line").isNotNull(), md).alias("markdown"), F.struct("page", "backend").alias("pdf"), *(["bbox"] if "bbox" in rows.columns else []))
     return rows.select("id", F.to_json(F.struct(F.col("claim").alias(claim_term), F.col("claim_sha256").alias(f"{claim_term}_sha256"), F.array(locator).alias("locators"))).alias("record"))
 
 

@@ -62,6 +62,26 @@ def file_states(files: DataFrame) -> DataFrame:
     return files.select("path", F.sha2("content", 256).alias("sha256"), state.alias("state"))
 
 
+def path_state(root: Path, path: str) -> str | None:
+    """What keeps a recorded path from being read: 'outside' (it leads out of ``root``, also by a link), 'missing', 'unreadable', or null."""
+    full = root / path
+    try:
+        real = full.resolve(strict=True)
+    except (OSError, RuntimeError):
+        parts = os.path.normpath(full)
+        return "missing" if Path(parts).is_relative_to(root) else "outside"
+    if not real.is_relative_to(root):
+        return "outside"
+    return None if real.is_file() and os.access(real, os.R_OK) else "unreadable"
+
+
+def recorded_states(spark: SparkSession, root: Path, rows: DataFrame) -> DataFrame:
+    """(path, sha256, state) of the paths that summaries record and that cannot be read; the files lie on the driver's file system."""
+    halves = rows.select(F.explode("sources").alias("s")).select(F.explode(F.array("s.markdown.source", "s.pdf.source")).alias("path")).where("path <> ''").distinct()
+    bad = [(p, None, state) for (p,) in halves.toLocalIterator() if (state := path_state(root, p)) is not None]
+    return spark.createDataFrame(bad, "path string, sha256 string, state string")
+
+
 def _named(files: DataFrame, templates: dict[str, list[str]]) -> DataFrame:
     """Files with the (id, source) whose template they answer to; the first existing template of a source counts."""
     parts = None
@@ -111,5 +131,7 @@ def from_folder(spark: SparkSession, root: str | os.PathLike, cfg: Config, pages
     if pages is None:
         xml = {n: [s.pdf.removesuffix(".pdf") + ".xml"] for n, s in cfg.corpus.sources.items()}
         pages = stext.pages_of(_named(sources, xml).select("id", "source", text.alias("text")), cfg.normalization).where("error is null").select("id", "source", F.lit("mutool-native").alias("backend"), "page", "text", "spans")
-    corpus = Corpus(rows, entries, locators, units, pages, reviews, file_states(sources.where(~F.col("path").endswith(".xml"))))
+    bad = recorded_states(spark, root, rows)
+    read = file_states(sources.where(~F.col("path").endswith(".xml"))).join(bad, "path", "left_anti")
+    corpus = Corpus(rows, entries, locators, units, pages, reviews, read.unionAll(bad))
     return corpus, issues

@@ -30,7 +30,6 @@ TYPED_SCHEMA = (
 
 _FIELD = r'(?:"[^"]*(?:""[^"]*)*"|[^"\t]*)'
 _WELL_QUOTED = rf"^{_FIELD}(?:\t{_FIELD})*$"
-_NEWLINES = {"\n": "\ue00a", "\r": "\ue00d"}
 _OUT = pa.schema(
     [("raw_id", pa.int64()), ("pdf", pa.string()), ("page", pa.int32()), ("line_no", pa.int32()), ("level", pa.int32())]
     + [(c, pa.int64()) for c in COUNT_COLUMNS]
@@ -113,13 +112,22 @@ def _rejected(rows: pa.Table, reason: str) -> pa.Table:
     return pa.table([*columns, pa.array([reason] * n, pa.string())], schema=_OUT)
 
 
-def _restore(table: pa.Table, escaped: bool) -> pa.Table:
-    if not escaped:
+def _marks(lines: pa.Array) -> dict[str, str]:
+    """Signs for the two line breaks that none of ``lines`` has."""
+    used = set("".join(lines.to_pylist()))
+    free = (chr(c) for c in (*range(0xE000, 0xF900), *range(0xF0000, 0xFFFFE), *range(0x100000, 0x10FFFE)) if chr(c) not in used)
+    return {"\n": next(free), "\r": next(free)}
+
+
+def _restore(table: pa.Table, marks: dict[str, str]) -> pa.Table:
+    if not marks:
         return table
-    text = table.column("text")
-    for plain, mark in _NEWLINES.items():
+    text, extra = table.column("text"), table.column("extra").to_pylist()
+    for plain, mark in marks.items():
         text = pc.replace_substring(text, mark, plain)
-    return table.set_column(table.column_names.index("text"), "text", text)
+        extra = [x if x is None else [(k, None if v is None else v.replace(mark, plain)) for k, v in x] for x in extra]
+    table = table.set_column(table.column_names.index("text"), "text", text)
+    return table.set_column(table.column_names.index("extra"), "extra", pa.array(extra, _OUT.field("extra").type))
 
 
 def _layout(rows: pa.Table, names: list[str], quoted: bool) -> Iterator[pa.Table]:
@@ -133,10 +141,9 @@ def _layout(rows: pa.Table, names: list[str], quoted: bool) -> Iterator[pa.Table
             lines = rows.column("line").combine_chunks()
     if not len(rows):
         return
-    escaped = bool(pc.any(_matches(lines, r"[\r\n]")).as_py())
-    if escaped:  # a line break inside a stored line is data, not a new row
-        for plain, mark in _NEWLINES.items():
-            lines = pc.replace_substring(lines, plain, mark)
+    marks = _marks(lines) if pc.any(_matches(lines, r"[\r\n]")).as_py() else {}
+    for plain, mark in marks.items():  # a line break inside a stored line is data, not a new row
+        lines = pc.replace_substring(lines, plain, mark)
     fields, wrong = _parse(lines, len(names), quoted)
     right = rows
     if wrong:
@@ -150,12 +157,12 @@ def _layout(rows: pa.Table, names: list[str], quoted: bool) -> Iterator[pa.Table
             lacks = [level is not None and v in {"1", "2", "3", "4"} for v in (parsed.column(level).to_pylist() if level is not None else short)]
             keep = pa.array(lacks, pa.bool_())
             if any(lacks):
-                yield _restore(_typed(rows.take(pa.array(short)).filter(keep), names, parsed.filter(keep)), escaped)
+                yield _restore(_typed(rows.take(pa.array(short)).filter(keep), names, parsed.filter(keep)), marks)
             bad += [i for i, k in zip(short, lacks) if not k]
         if bad:
             yield _rejected(rows.take(pa.array(sorted(bad))), COLUMN_COUNT)
     if len(right):
-        yield _restore(_typed(right, names, fields), escaped)
+        yield _restore(_typed(right, names, fields), marks)
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -96,12 +96,12 @@ def rows(*lines, dialect="plain"):
 
 def test_ocr_rows(spark):
     ok = "5\t1\t1\t1\t1\t1\t0\t0\t9\t9\t96.5\t"
-    data = rows("\ufeff" + HEAD + "\r", ok + "word\r", ok + 'a"b', "4\t1\t1\t1\t1\t0\t0\t0\t9\t9\t-1", "5\t1\t1\t1\t1\t0\t0\t0\t9\t9\t-1", None, "  ", ok + "x\ty", ok.replace("96.5", "-2") + "x", ok.replace("96.5", " 9") + "x", "６" + ok[1:] + "x", ok + "two\nlines", ok)
+    data = rows("\ufeff" + HEAD + "\r", ok + "word\r", ok + 'a"b', "4\t1\t1\t1\t1\t0\t0\t0\t9\t9\t-1", "5\t1\t1\t1\t1\t0\t0\t0\t9\t9\t-1", None, "  ", ok + "x\ty", ok.replace("96.5", "-2") + "x", ok.replace("96.5", " 9") + "x", "６" + ok[1:] + "x", ok + "two\nlines\ue000\ue001", ok)
     valid, bad = load_ocr_rows(spark.createDataFrame(data + data[:4], SCHEMA))
     reasons = {r["raw_id"]: r["reason"] for r in bad.collect()}
     assert reasons == {5: "column_count", 6: "column_count", 7: "column_count", 8: "column_count", 9: "value", 10: "value", 11: "value"}
     texts = {r["raw_id"]: r["text"] for r in valid.collect()}
-    assert texts == {2: "word", 3: 'a"b', 4: None, 12: "two\nlines", 13: ""}
+    assert texts == {2: "word", 3: 'a"b', 4: None, 12: "two\nlines\ue000\ue001", 13: ""}
 
 
 def test_ocr_rows_quoted(spark):
@@ -150,3 +150,43 @@ def test_folder_end_to_end(spark, tmp_path):
     done = check(corpus, config.Config(), parse_issues=broken)
     assert sorted(r["code"] for r in done.issues.collect()) == ["source_hash_mismatch", "summary_parse_failed"]
     assert done.legs.first()["legs"] == ["pdf", "default"]
+
+
+def test_paths_that_cannot_be_read(tmp_path):
+    root = (tmp_path / "corpus").resolve()
+    root.mkdir()
+    (tmp_path / "far.pdf").write_bytes(b"x")
+    (root / "near.pdf").write_bytes(b"x")
+    (root / "folder").mkdir()
+    (root / "link.pdf").symlink_to(tmp_path / "far.pdf")
+    got = {p: inventory.path_state(root, p) for p in ("near.pdf", "link.pdf", "../far.pdf", "../none.pdf", "none.pdf", "folder")}
+    assert got == {"near.pdf": None, "link.pdf": "outside", "../far.pdf": "outside", "../none.pdf": "outside", "none.pdf": "missing", "folder": "unreadable"}
+
+
+def test_commands_on_a_folder(spark, tmp_path, capsys):
+    import hashlib
+
+    from proofline import cli
+
+    for d in ("summaries", "pdfs"):
+        (tmp_path / d).mkdir()
+    (tmp_path / "proofline.yaml").write_text("corpus: {sources: {default: {markdown: ['md/{id}.md'], pdf: 'pdfs/{id}.pdf'}, annex: {markdown: null, pdf: 'pdfs/{id}-annex.pdf'}}}\n")
+    for name in ("abc", "abc-annex"):
+        (tmp_path / f"pdfs/{name}.pdf").write_bytes(b"%PDF " + name.encode())
+        (tmp_path / f"pdfs/{name}.xml").write_text('<document><page><block><line bbox="1 2 4 6" text="The yield rose by 13 percent."/></block></page></document>')
+    claim = "Yield rose 13 percent."
+    sha = lambda p: hashlib.sha256((tmp_path / p).read_bytes()).hexdigest()
+    sources = [{"name": "annex", "pdf": {"source": "pdfs/abc-annex.pdf", "sha256": sha("pdfs/abc-annex.pdf")}}]
+    (tmp_path / "summaries/abc.yaml").write_text(json.dumps({"id": "abc", "claims": [claim], "evidence": {"sources": {s["name"]: {"pdf": s["pdf"]} for s in sources}, "claims": []}}))
+    run = lambda *a: (cli.main(["--root", str(tmp_path), *a]), capsys.readouterr())
+    code, said = run("extract", "abc", "--write")
+    text = (tmp_path / "md/abc.md").read_text()
+    assert code == 0 and text.startswith(f"---\nsource: pdfs/abc.pdf\nsha256: {sha('pdfs/abc.pdf')}\n---\n") and text.endswith("## Page 1\n\nThe yield rose by 13 percent.\n\n")
+    assert run("extract", "abc", "--write")[0] == 1 and run("extract", "abc", "--write", "--force")[0] == 0
+    assert run("extract", "abc", "--source", "annex", "--write")[0] == 1
+    assert [p.name for p in (tmp_path / "md").iterdir()] == ["abc.md"]
+    code, said = run("locate", "abc", "--claim", "0", "--source", "annex", "--exact", "rose by 13 percent")
+    locator = json.loads(said.out)["locators"][0]
+    assert code == 0 and locator["source"] == "annex" and "markdown" not in locator and locator["pdf"]["page"] == 1 and locator["bbox"]["x"] == 1
+    assert run("locate", "abc", "--claim", "0", "--source", "annex", "--exact", "rose by 14 percent")[0] == 1
+    assert run("locate", "abc", "--claim", "7", "--source", "annex", "--exact", "rose by 13 percent")[0] == 1
