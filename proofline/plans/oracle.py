@@ -124,6 +124,16 @@ def _object(fields: dict[str, str]) -> str:
     return "'{' || array_to_string(list_filter([" + parts + "], lambda x: x is not null), ',') || '}'"
 
 
+def _terms(x: str) -> str:
+    """Runs of capitalised words: all other words become a sign that the rest is split at."""
+    words = f"list_filter(string_split_regex(s, '{_W}+'), lambda w: w <> '')[2:]"
+    signed = f"list_transform({words}, lambda w: case when regexp_matches(w, '(?s)^\\p{{Lu}}.*\\p{{Ll}}') then w else chr(1) end)"
+    runs = f"list_transform(string_split(array_to_string({signed}, chr(2)), chr(1)), lambda r: list_filter(string_split(r, chr(2)), lambda w: w <> ''))"
+    kept = f"list_transform(list_filter({runs}, lambda r: len(r) >= 2), lambda r: array_to_string(r, ' '))"
+    return f"flatten(list_transform(string_split_regex({x}, '[.!?]'), lambda s: {kept}))"
+
+
+_COVERS = f"case when list_contains({_list(NUMBER_WORDS)}, t) then {_inside('exact', 't', '(?i)')} else {_inside('exact', 't')} end"
 _SECTION = "case when len(markdown.section) > 0 then markdown.section end"
 _MARKDOWN = _object({"column": "markdown.col", "line": "markdown.line", "section": _SECTION, "unit": "markdown.unit"})
 _PDF = _object({"backend": "pdf.backend", "page": "pdf.page"})
@@ -132,6 +142,11 @@ _CANONICAL = f"""{_LOC}, j as (select id, claim, nth, '{{"exact":' || to_json({_
  canon as (select id, claim, '[' || string_agg(one, ',' order by nth) || ']' as canonical from j group by all)"""
 _LINES = "string_split(text, chr(10))"
 
+_SPANS = f"""{_UNITS}, n_x as (select *, {_norm('text')} as n from u), sn_x as (select *, {_sentences('n')} as ss from n_x),
+ all_x as (select *, case when len(ss) > 1 then list_append(ss, n) else ss end as spans from sn_x),
+ one_x as (select *, unnest(spans) as exact, generate_subscripts(spans, 1) - 1 as span_ord from all_x),
+ spans_x as (select * from one_x where {_count('n', 'exact')} = 1)"""
+
 ORACLE: dict[str, str] = {
     "p2_found": _OCR + "select distinct raw_id, reason from reasons where reason is not null",
     "p2_loaded": _OCR
@@ -148,10 +163,14 @@ ORACLE: dict[str, str] = {
     "unit_index": f"with {_UNITS} select id, source, kind, line, col, count(*) as units from u group by all",
     "sentences": f"""with {_UNITS}, x as (select unit_id, {_sentences('text')} as ss from u)
  select unit_id, unnest(ss) as sentence, generate_subscripts(ss, 1) - 1 as pos from x""",
-    "candidate_spans": f"""with {_UNITS}, n as (select *, {_norm('text')} as n from u), x as (select *, {_sentences('n')} as ss from n),
- y as (select *, case when len(ss) > 1 then list_append(ss, n) else ss end as spans from x),
- z as (select *, unnest(spans) as exact, generate_subscripts(spans, 1) - 1 as span_ord from y)
- select id, source, ord as unit_ord, span_ord, exact, line, col, kind as unit from z where {_count('n', 'exact')} = 1""",
+    "candidate_spans": f"""with {_SPANS}
+ select id, source, ord as unit_ord, span_ord, exact, line, col, kind as unit from spans_x""",
+    "propose_scored": f"""with {_CHARS}, {_SPANS}, w as (select id, claim, {_REQUIRED} as required from ch_x),
+ m as (select w.id, claim, exact, line, col, source, ord, span_ord, len(list_filter(required, lambda t: {_COVERS})) as matched from w join spans_x x on x.id = w.id where len(required) > 0),
+ r as (select *, row_number() over (partition by id, claim order by matched desc, strlen(exact), source, line, col, ord, span_ord) as rank from m where matched > 0)
+ select id, claim, rank, matched, exact, line, col from r where rank <= 3""",
+    "document_terms": f"""with x as (select doc_id, {_terms('text')} as f from documents)
+ select doc_id, unnest(f) as term, generate_subscripts(f, 1) - 1 as pos from x""",
     "claim_hash": f"with {_CLAIMS} select id, claim, claim_text, sha256(claim_text) as claim_hash from claims_x",
     "numeric_tokens": f"""with {_CLAIMS}, x as (select id, claim, {_NUMBERS} as t from claims_x)
  select id, claim, unnest(t) as token, generate_subscripts(t, 1) - 1 as pos from x""",

@@ -112,6 +112,10 @@ def advisory_terms(spark: SparkSession, d: str) -> DataFrame:
     return claims.select("id", "claim", F.posexplode(K.advisory_terms("claim_text")).alias("pos", "term"))
 
 
+def document_terms(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.posexplode(K.advisory_terms("text")).alias("pos", "term"))
+
+
 def content_words(spark: SparkSession, d: str) -> DataFrame:
     claims = from_tables(spark, d).claims()
     return claims.select("id", "claim", F.explode(K.content_words("claim_text")).alias("word"))
@@ -259,7 +263,7 @@ def source_pages(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [
         p2_found, p2_loaded, norm_documents, norm_whitespace_only, fold_quotes, units_by_line, unit_index, sentences, candidate_spans, claim_hash, numeric_tokens,
-        number_words, quoted_phrases, required_tokens, advisory_terms, content_words, token_coverage, word_coverage, locator_outcomes, weak_sections, stale_sections,
+        number_words, quoted_phrases, required_tokens, advisory_terms, document_terms, content_words, token_coverage, word_coverage, locator_outcomes, weak_sections, stale_sections,
         stale_hash, missing_entries, unused_sources, unknown_sources, unnormalized_exact, canonical_json_hash, review_missing, review_unsupported, review_stale, legs,
         issues, check_rollup, check_report, audit_rollup, locate_literals, locate_pages, matching_boxes, propose_scored, propose_budgeted, propose_uncovered,
         extract_markdown, ocr_page_text, source_pages,
