@@ -158,8 +158,8 @@ def resolved_sources(c: Corpus, cfg: Config) -> tuple[DataFrame, DataFrame]:
 
 
 def unit_index(units: DataFrame) -> DataFrame:
-    """(id, source, kind, line, col) -> how many units are there, and the text and headings of one."""
-    return units.groupBy("id", "source", "kind", "line", "col").agg(F.count("*").alias("units"), F.first("text").alias("unit_text"), F.first("section").alias("unit_section"))
+    """(id, source, kind, line, col) -> how many units are there, and the text and headings of the one whose text sorts first."""
+    return units.groupBy("id", "source", "kind", "line", "col").agg(F.count("*").alias("units"), F.min("text").alias("unit_text"), F.min_by("section", "text").alias("unit_section"))
 
 
 def resolve_locators(c: Corpus, cfg: Config, resolved: DataFrame) -> DataFrame:
@@ -172,7 +172,7 @@ def resolve_locators(c: Corpus, cfg: Config, resolved: DataFrame) -> DataFrame:
     loc = c.locators.join(resolved.withColumn("source_ok", F.lit(True)), ["id", "source"], "left")
     loc = loc.withColumn("needle", T.normalize("exact", norm)).withColumn("kind", F.col("markdown.unit")).withColumn("line", F.col("markdown.line").cast("int")).withColumn("col", F.col("markdown.col").cast("int")).withColumn("backend", F.col("pdf.backend")).withColumn("page", F.col("pdf.page").cast("int"))
     loc = loc.join(unit_index(c.units), ["id", "source", "kind", "line", "col"], "left")
-    pages = c.pages.groupBy("id", "source", "backend", "page").agg(F.first("text").alias("page_text"), F.count("*").alias("pages"))
+    pages = c.pages.groupBy("id", "source", "backend", "page").agg(F.min("text").alias("page_text"), F.count("*").alias("pages"))
     loc = loc.join(pages, ["id", "source", "backend", "page"], "left")
     return loc.withColumn("md_count", T.exact_count(T.normalize("unit_text", norm), F.col("needle"))).withColumn("pdf_count", T.exact_count(T.normalize(F.coalesce("page_text", F.lit("")), norm), F.col("needle"))).drop("unit_text", "page_text")
 

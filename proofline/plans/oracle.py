@@ -85,8 +85,8 @@ _NUMBER_WORDS = f"list_filter({_list(NUMBER_WORDS)}, lambda w: {_inside('lower(c
 _FOUND = f"""{_SUM}, {_DECLARED}, {_UNITS}, {_PAGES}, {_LOC},
  cfg as (select * from (values ('default', true), ('supplement', false), ('compendium', false)) t(name, takes)),
  ok as (select d.id, src.name as source, src.markdown is not null as md_ok from d join cfg on cfg.name = src.name where not (src.markdown is not null and not takes)),
- ui as (select id, source, kind, line, col, count(*) as units, any_value(text) as unit_text, any_value(section) as unit_section from u group by all),
- pi as (select id, source, backend, page, count(*) as pages, any_value(text) as page_text from p group by all),
+ ui as (select id, source, kind, line, col, count(*) as units, min(text) as unit_text, min_by(section, text) as unit_section from u group by all),
+ pi as (select id, source, backend, page, count(*) as pages, min(text) as page_text from p group by all),
  f as (select l.*, ok.id is not null as source_ok, md_ok, units, unit_section, pages, {_norm('l.exact')} as needle, {_norm('unit_text')} as hay, {_norm("coalesce(page_text, '')")} as page_hay
    from l left join ok on ok.id = l.id and ok.source = l.source
    left join ui on ui.id = l.id and ui.source = l.source and ui.kind = l.markdown.unit and ui.line = l.markdown.line and ui.col = l.markdown.col
@@ -196,6 +196,8 @@ ORACLE: dict[str, str] = {
  and len(list_filter(coalesce(unit_section, []), lambda h: contains(lower(h), 'gal') or contains(lower(h), 'vor'))) > 0)""",
     "stale_sections": f"""with {_FOUND} select id, claim, nth as locator from found where source_ok and md_ok and units = 1 and md_count = 1
  and len(markdown.section) > 0 and coalesce(unit_section, []) <> markdown.section""",
+    "altered_sections": f"with {_FOUND} select id, claim, nth as locator from found where source_ok and md_ok and markdown is not null and units = 1 and md_count = 1",
+    "doubled_entries": f"with {_CLAIMS}, {_LOC} select distinct l.id, 'duplicate_entry' as code, l.claim from l join claims_x c on c.id = l.id and c.claim = l.claim join s on s.id = l.id where sources is not null",
     "stale_hash": f"""with {_CLAIMS}, {_LOC}, e as (select id, claim, min_by(claim_sha256, nth) as h from l group by all)
  select e.id, case when claim >= len(claims) then 'entry_out_of_range' else 'stale_hash' end as code, claim
  from e join s on s.id = e.id where claim >= len(claims) or h is distinct from sha256(claims[claim + 1])""",
@@ -240,3 +242,35 @@ ORACLE: dict[str, str] = {
  select pdf, page, string_agg(case when before is null then '' when before = k then ' ' else chr(10) end || text, '' order by line_no) as text,
    avg(c) filter (c >= 0) as mean_confidence, count(*) as words from g group by all""",
 }
+
+# The roll-up composes the texts above: one row per issue, with its severity.
+_ERRORS = ["stale_hash", "missing_entries", "unused_sources", "unknown_sources", "unnormalized_exact", "token_coverage"]
+_COUNTED = ["review_missing", "review_unsupported", "review_stale"]
+_NAMED = f"""{_SUM}, {_DECLARED}, cfg as (select * from (values ('default', true, ['md/{{id}}.md', 'md/{{id}}/{{id}}.md'], 'pdfs/{{id}}.pdf'),
+  ('supplement', false, [], 'pdfs/{{id}}-supp.pdf'), ('compendium', false, [], 'pdfs/compendium/{{id}}.pdf')) t(name, takes, mds, pdf)),
+ dc as (select d.id, src, takes, mds, cfg.pdf as pdf_template from d left join cfg on cfg.name = src.name)"""
+_SOURCE_ISSUES = f"""with {_NAMED} select id from dc where takes is null or (not takes and src.markdown is not null)
+ union all select id from dc where takes and src.markdown is not null and not list_contains(list_transform(mds, lambda t: replace(t, '{{id}}', id)), src.markdown.source)
+ union all select id from dc where takes is not null and not (not takes and src.markdown is not null) and src.pdf is not null and src.pdf.source <> replace(pdf_template, '{{id}}', id)"""
+_LOCATOR_ISSUES = f"""with {_FOUND} select id from found where source_ok and md_ok and markdown is not null and (units is null or units > 1 or md_count <> 1
+   or (len(markdown.section) > 0 and coalesce(unit_section, []) <> markdown.section))
+ union all select id from found where source_ok and (pages is null or pdf_count is null or pdf_count <> 1)"""
+_ISSUES = "issues_x as (" + " union all ".join(
+    [f"select id, 'error' as severity from ({ORACLE[k]})" for k in _ERRORS]
+    + [f"select id, 'error' from (select id, unnest(range(n)) from ({ORACLE[k]}))" for k in _COUNTED]
+    + [f"select id, 'error' from ({q})" for q in (_SOURCE_ISSUES, _LOCATOR_ISSUES)]
+    + [f"select id, 'warning' from (select distinct id, claim from ({ORACLE['word_coverage']}))", f"select id, 'warning' from ({ORACLE['weak_sections']})", f"select id, 'warning' from ({ORACLE['legs']}) where not corroborated"]
+) + ")"
+_ROLLUP = f"""with {_ISSUES}, b as (select distinct on (id) id, sources is null as missing from summaries),
+ c as (select id, count(*) filter (severity = 'error') as errors, count(*) filter (severity = 'warning') as warnings from issues_x group by id),
+ g as (select id, count(*) as entries, count(*) filter (corroborated) as corroborated from ({ORACLE['legs']}) group by id),
+ rollup_x as (select b.id, case when missing then 'missing' when coalesce(errors, 0) > 0 then 'invalid' else 'valid' end as outcome, coalesce(errors, 0) as errors,
+   coalesce(warnings, 0) as warnings, coalesce(entries, 0) as entries, coalesce(corroborated, 0) as corroborated, coalesce(entries, 0) - coalesce(corroborated, 0) as single_leg
+   from b left join c on c.id = b.id left join g on g.id = b.id)"""
+ORACLE |= {
+    "check_rollup": f"{_ROLLUP} select * from rollup_x",
+    "check_report": f"""{_ROLLUP} select count(*) filter (outcome <> 'missing') as checked, count(*) filter (outcome = 'valid') as valid, count(*) filter (outcome = 'invalid') as invalid,
+ count(*) filter (outcome = 'missing') as skipped, coalesce(sum(corroborated), 0)::bigint as corroborated, coalesce(sum(single_leg), 0)::bigint as single_leg from rollup_x""",
+    "audit_rollup": f"""{_ROLLUP} select count(*) as total, count(*) filter (outcome = 'valid') as valid, count(*) filter (outcome = 'missing') as missing, count(*) filter (outcome = 'invalid') as invalid,
+ coalesce(sum(case when outcome = 'invalid' then errors + warnings end), 0)::bigint as issues_shown from rollup_x""",
+}

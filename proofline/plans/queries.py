@@ -148,6 +148,21 @@ def stale_sections(spark: SparkSession, d: str) -> DataFrame:
     return R.locator_issues(_resolved(c, cfg), cfg).where("code = 'stale_section'").select("id", "claim", "locator")
 
 
+def altered_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Stale sections where every locator records one heading more than it should; the tables themselves have no such case."""
+    c, cfg = from_tables(spark, d), test_config()
+    longer = F.concat(F.coalesce("markdown.section", F.array().cast("array<string>")), F.array(F.lit("altered")))
+    c.locators = c.locators.withColumn("markdown", F.when(F.col("markdown").isNotNull(), F.col("markdown").withField("section", longer)))
+    return R.locator_issues(_resolved(c, cfg), cfg).where("code = 'stale_section'").select("id", "claim", "locator")
+
+
+def doubled_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Duplicate entries where every entry is there twice; the tables themselves have no such case."""
+    c = from_tables(spark, d)
+    c.entries = c.entries.unionAll(c.entries)
+    return R.structure_issues(c, test_config()).where("code = 'duplicate_entry'").select("id", "code", "claim")
+
+
 def stale_hash(spark: SparkSession, d: str) -> DataFrame:
     return _coded(spark, d, ["stale_hash", "entry_out_of_range"]).select("id", "code", "claim")
 
@@ -263,7 +278,7 @@ def source_pages(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [
         p2_found, p2_loaded, norm_documents, norm_whitespace_only, fold_quotes, units_by_line, unit_index, sentences, candidate_spans, claim_hash, numeric_tokens,
-        number_words, quoted_phrases, required_tokens, advisory_terms, document_terms, content_words, token_coverage, word_coverage, locator_outcomes, weak_sections, stale_sections,
+        number_words, quoted_phrases, required_tokens, advisory_terms, document_terms, content_words, token_coverage, word_coverage, locator_outcomes, weak_sections, stale_sections, altered_sections, doubled_entries,
         stale_hash, missing_entries, unused_sources, unknown_sources, unnormalized_exact, canonical_json_hash, review_missing, review_unsupported, review_stale, legs,
         issues, check_rollup, check_report, audit_rollup, locate_literals, locate_pages, matching_boxes, propose_scored, propose_budgeted, propose_uncovered,
         extract_markdown, ocr_page_text, source_pages,
