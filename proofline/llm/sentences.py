@@ -16,6 +16,7 @@ each kind and language at any size of the corpus.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 import unicodedata
@@ -30,10 +31,9 @@ from pyspark.sql import functions as F
 from proofline.llm.canonical import canonical_text
 
 SHARE = 1e-5
-_LONGEST = 24  # letters of a type that is counted
+SHORT = 4  # letters up to which the ratio alone makes an abbreviation; longer types need evidence behind their period
 _SIGNIFICANT = 7.88  # log-likelihood ratio beyond which chance is ruled out at 0.5 %
 _LIFT = 10  # with enough text any difference is significant: how many times as often a collocation's word is there at least
-_QUOTE_REACH = 600  # a quotation that does not close within so many characters is none
 
 # Function words that tell languages of Latin script apart.
 FUNCTION_WORDS = {
@@ -63,7 +63,7 @@ _UNSEEN = "\u00ad\u200b\u200c\u200d\u200e\u200f\u2060\ufeff"
 def language_hint(text: str) -> tuple[str, str]:
     """(language, script group) that ``text`` is counted under."""
     best, most = "", 0
-    for name, pattern in _SCRIPTS:
+    for name, pattern in () if text.isascii() else _SCRIPTS:
         n = len(pattern.findall(text))
         if name == "ja" and n:
             n += len(_SCRIPTS[3][1].findall(text))
@@ -79,16 +79,19 @@ def language_hint(text: str) -> tuple[str, str]:
     return (max(sorted(votes), key=votes.get) if votes else "latin"), "latin"
 
 
+@functools.lru_cache(maxsize=1 << 14)
 def _hidden(c: str) -> bool:
     return unicodedata.category(c) == "Cf"
 
 
+@functools.lru_cache(maxsize=1 << 17)
 def _type(token: str) -> str:
     """A token as it is counted: without brackets and quotes, in one form, in lower case."""
     token = token.strip(_OPENING + _CLOSING + ",;:")
     return (token if token.isascii() else canonical_text(token)).lower()
 
 
+@functools.lru_cache(maxsize=1 << 16)
 def _kind(token: str) -> str:
     """How a following token begins: lower, upper, digit, mixed (small first letter, capitals after) or other."""
     bare = token.lstrip(_OPENING)
@@ -184,7 +187,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tokens = _TOKEN.findall(text)
             for i, token in enumerate(tokens):
                 word = _type(token)
-                if not word or len(word) > _LONGEST:
+                if not word:
                     continue
                 for g in set(groups):
                     if word.endswith(".") and not word.endswith("..") and token.rstrip(_UNSEEN)[-1:] in ".":
@@ -245,7 +248,7 @@ def _learned(counts: DataFrame) -> Statistics:
             score = _log_likelihood(n, k, p0, 0.99) * math.exp(-letters) * (1 + w.count(".")) / (max(letters, 1) ** min(r["plain"], 50))
             inside = r["lower"] + r["digit"]
             followed = inside + r["upper"] + r["quote"]
-            if (score > 0.3 and letters <= 4) or (inside >= 2 and inside > 0.4 * followed):
+            if (score > 0.3 and letters <= SHORT) or (inside >= 2 and inside > 0.4 * followed):
                 out.abbreviations.setdefault(g, {})[w] = False
     known = [(g, w) for g, ws in out.abbreviations.items() for w in ws]
     opening = [(g, w) for g, ws in out.starters.items() for w in ws]
@@ -341,6 +344,7 @@ def _enclosed(text: str) -> list[tuple[int, int]]:
     """Quotations and brackets: (place of the opening, place of the closing sign), not nested."""
     out: list[tuple[int, int]] = []
     i, n = 0, len(text)
+    gone: set[str] = set()  # closing signs that do not come any more
     for m in re.finditer(r"[«“„「『(（\[\"]", text):
         at, sign = m.start(), m.group()
         if at < i:
@@ -352,11 +356,16 @@ def _enclosed(text: str) -> list[tuple[int, int]]:
             closers = '"'
         else:
             closers = _PAIRS[sign]
-        reach = text[at + 1 : at + 1 + _QUOTE_REACH]
-        found = [p for c in closers if (p := reach.find(c)) >= 0]
+        found = []
+        for c in closers:
+            place = -1 if c in gone else text.find(c, at + 1)
+            if place < 0:
+                gone.add(c)
+            else:
+                found.append(place)
         if not found:
             continue
-        end = at + 1 + min(found)
+        end = min(found)
         out.append((at, end))
         i = end + 1
     return out
