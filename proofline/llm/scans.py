@@ -5,8 +5,9 @@ edge of several pages of a document, and line shapes that the corpus has at page
 judged by a lexicon of the corpus' frequent words, without the forms that are frequent only as misread
 from far more frequent words: those that recognised text has and native text lacks.  A symmetric-delete index over the lexicon (every
 word under all forms with up to two characters left out) finds candidates for an unknown word; a
-weighted edit distance in which pairs of confusable shapes are cheap decides, and the counts of the
-word before it choose among equals.  All counts are over all pages; lexicon, word pairs and shapes are
+weighted edit distance in which pairs of confusable shapes are cheap decides, as are letters that this
+corpus' recognition is found to write for any other, and the counts of the word before it choose among
+equals.  All counts are over all pages; lexicon, word pairs and shapes are
 those above a share of all occurrences, so at most 1/share of each reach the driver and the tasks.
 """
 
@@ -15,7 +16,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -43,6 +44,7 @@ _PAIRED = defaultdict(list)
 for _written, _meant in CONFUSIONS:
     _PAIRED[_written].append(_meant)
 _ACCENT = 0.45
+UNCLEAR_SHARE, UNCLEAR_LEAST = 0.2, 5  # of unexplained substitutions; letters of the words they are seen and mended in
 _CHEAP, _DEAR = 0.35, 1.0
 MOST_COST = 0.75
 
@@ -155,8 +157,8 @@ def _reach(word: str) -> int:
     return 2 if len(word) >= 5 else 1
 
 
-def distance(written: str, meant: str, most: float = MOST_COST) -> float:
-    """Weighted edit distance: confusable shapes are cheap, other edits dear; more than ``most`` counts as infinite."""
+def distance(written: str, meant: str, most: float = MOST_COST, unclear: frozenset[str] = frozenset()) -> float:
+    """Weighted edit distance: confusable shapes are cheap, and in words of five letters the ``unclear`` ones; other edits are dear; more than ``most`` counts as infinite."""
     n, m = len(written), len(meant)
     inf = float("inf")
     table = [[inf] * (m + 1) for _ in range(n + 1)]
@@ -168,7 +170,7 @@ def distance(written: str, meant: str, most: float = MOST_COST) -> float:
                 continue
             if i < n and j < m:
                 a, b = written[i], meant[j]
-                cost = 0.0 if a == b else _CHEAP if a == "k" and n >= 5 else _ACCENT if _bare(a) == _bare(b) else _DEAR
+                cost = 0.0 if a == b else _CHEAP if a in unclear and n >= UNCLEAR_LEAST else _ACCENT if _bare(a) == _bare(b) else _DEAR
                 if now + cost < table[i + 1][j + 1]:
                     table[i + 1][j + 1] = now + cost
             for k in (1, 2, 3):
@@ -178,41 +180,61 @@ def distance(written: str, meant: str, most: float = MOST_COST) -> float:
     return table[n][m] if table[n][m] <= most else inf
 
 
+_MOST_KEPT = 1 << 18  # words whose candidates a task keeps at hand; the oldest go first
+
+
+def _delete_index(words: Iterable[str]) -> dict[str, list[str]]:
+    index = defaultdict(list)
+    for w in words:
+        for d in _deletes(w, _reach(w)):
+            index[d].append(w)
+    return dict(index)
+
+
+def _near(word: str, index: dict[str, list[str]], unclear: frozenset[str] = frozenset()) -> list[tuple[float, str]]:
+    """(distance, word) of the words of a delete index that ``word`` may be misread from."""
+    seen = {w for d in _deletes(word, _reach(word)) for w in index.get(d, ()) if abs(len(w) - len(word)) <= 2}
+    return [(cost, w) for w in seen if (cost := distance(word, w, unclear=unclear)) <= MOST_COST]
+
+
 @dataclass
 class Lexicon:
-    """Frequent words, written compounds and word pairs of the corpus, with the symmetric-delete index."""
+    """Frequent words, written compounds and word pairs of the corpus, with the symmetric-delete indexes."""
 
     words: dict[str, int] = field(default_factory=dict)
     compounds: dict[str, int] = field(default_factory=dict)
     pairs: dict[tuple[str, str], int] = field(default_factory=dict)
     index: dict[str, list[str]] = field(default_factory=dict)
-    all_words: set[str] = field(default_factory=set)
+    parts: dict[str, list[str]] = field(default_factory=dict)  # index of the halves of compounds
+    unclear: frozenset[str] = frozenset()  # letters that recognition writes for any other
+    kept: dict[str, list[tuple[float, str]]] = field(default_factory=dict)
 
     def built(self) -> Lexicon:
         if not self.index:
-            index = defaultdict(list)
-            for w in self.words:
-                if len(w) >= 3:
-                    for d in _deletes(w, _reach(w)):
-                        index[d].append(w)
-            self.index = dict(index)
+            self.index = _delete_index(w for w in self.words if len(w) >= 3)
+            self.parts = _delete_index({p for c in self.compounds if c.count("-") == 1 for p in c.split("-")})
         return self
 
     def correct(self, word: str, before: str = "") -> str | None:
-        """The ordinary word that ``word``, which is none, was misread from, or null."""
-        best: tuple[float, int, int, str] | None = None
-        seen: set[str] = set()
-        for d in _deletes(word, _reach(word)):
-            for w in self.index.get(d, ()):
-                if w in seen or abs(len(w) - len(word)) > 2:
-                    continue
-                seen.add(w)
-                cost = distance(word, w)
-                if cost <= MOST_COST:
-                    rank = (cost, -self.pairs.get((before, w), 0), -self.words[w], w)
-                    if best is None or rank < best:
-                        best = rank
-        return best[3] if best else None
+        """The ordinary word that ``word``, which is none, was misread from, or null.
+
+        Candidates do not depend on the place of a word and are found once; the counts of the word before it
+        choose among those of equal cost.
+        """
+        near = self.kept.get(word)
+        if near is None:
+            near = _near(word, self.index, self.unclear)
+            least = min((c for c, _ in near), default=0)
+            near = [x for x in near if x[0] == least]
+            if len(self.kept) >= _MOST_KEPT:
+                self.kept.pop(next(iter(self.kept)))
+            self.kept[word] = near
+        return min((-self.pairs.get((before, w), 0), -self.words[w], w) for _, w in near)[2] if near else None
+
+    def misread_compound(self, left: str, right: str) -> bool:
+        """Whether ``left``-``right`` is a written compound or misread from one; each half costs on its own."""
+        right_near = _near(right, self.parts, self.unclear)
+        return any(x + y <= MOST_COST and f"{a}-{b}" in self.compounds for x, a in _near(left, self.parts, self.unclear) for y, b in right_near)
 
 
 _COUNTS = pa.schema([("kind", pa.string()), ("a", pa.string()), ("b", pa.string()), ("n", pa.int64())])
@@ -276,6 +298,43 @@ def misread_forms(words: dict[str, int], native: dict[str, int], native_total: i
     return out
 
 
+def unclear_letters(counts: DataFrame, words: dict[str, int]) -> frozenset[str]:
+    """Letters that recognition writes for many others, not for look-alikes only.
+
+    Every form that native text lacks and that is one letter away from exactly one far more frequent word
+    tells of a substitution.  Of those that no confusable shape explains, an unclear letter makes up
+    ``UNCLEAR_SHARE`` or more, and no single letter is meant by half of them.
+    """
+    shared = counts.sparkSession.sparkContext.broadcast(words)  # bounded by the share
+    explained = {(w, m) for w, m in CONFUSIONS if len(w) == len(m) == 1}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gaps = defaultdict(list)
+        for w in shared.value:
+            if len(w) >= UNCLEAR_LEAST:
+                for i in range(len(w)):
+                    gaps[w[:i], w[i + 1 :]].append(w)
+        for batch in batches:
+            found: Counter = Counter()
+            for form, n in zip(batch.column("a").to_pylist(), batch.column("n").to_pylist()):
+                if form in shared.value:
+                    continue
+                near = {(w, i) for i in range(len(form)) for w in gaps.get((form[:i], form[i + 1 :]), ())}
+                if len(near) == 1:
+                    ((w, i),) = near
+                    if shared.value[w] >= MISREAD_TIMES * n and (form[i], w[i]) not in explained and _bare(form[i]) != _bare(w[i]):
+                        found[form[i], w[i]] += n
+            yield pa.record_batch([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(list(found.values()), pa.int64())], names=["written", "meant", "n"])
+
+    sides = [F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(k) for k in ("word", "native")]
+    forms = counts.where("kind in ('word', 'native')").where(F.length("a") >= UNCLEAR_LEAST).groupBy("a").agg(*sides).where("native = 0").select("a", F.col("word").alias("n"))
+    pairs = forms.mapInArrow(run, "written string, meant string, n long").groupBy("written", "meant").agg(F.sum("n").alias("n"))
+    letters = pairs.groupBy("written").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
+    whole = Window.partitionBy()  # one row per letter
+    rows = letters.withColumn("total", F.sum("n").over(whole)).where((F.col("n") >= UNCLEAR_SHARE * F.col("total")) & (F.col("n") > 2 * F.col("most")) & (F.col("n") > LEAST_COUNT)).select("written").collect()
+    return frozenset(r["written"] for r in rows)
+
+
 def learn_lexicon(texts: DataFrame) -> Lexicon:
     """Lexicon of the ``text`` column of all pages; ``native``, if there is such a column, tells texts that were not recognised."""
     native = F.coalesce("native", F.lit(False)) if "native" in texts.columns else F.lit(False)
@@ -289,6 +348,7 @@ def learn_lexicon(texts: DataFrame) -> Lexicon:
         rows = counts.where("kind in ('word', 'native')").groupBy("a").agg(*sides).where(F.col("word") >= need).collect()
         wrong = misread_forms({r["a"]: r["word"] for r in rows}, {r["a"]: r["native"] for r in rows}, totals.get("native", 0), totals.get("word", 0))
         out.words = {r["a"]: r["word"] for r in rows if r["a"] not in wrong}
+        out.unclear = unclear_letters(counts, out.words)
         for r in counts.where((F.col("kind") == "compound") & (F.col("n") >= max(2.0, totals.get("word", 0) * WORD_SHARE / 10))).collect():
             out.compounds[r["a"]] = r["n"]
         for r in counts.where((F.col("kind") == "pair") & (F.col("n") >= max(LEAST_COUNT, totals.get("pair", 0) * PAIR_SHARE))).collect():
@@ -352,9 +412,7 @@ def divides(line: str, following: str, lexicon: Lexicon) -> bool:
         return True
     # A misread half of a written compound is a compound still.
     if left.lower() in lexicon.words and right.lower() in lexicon.words and len(right) > 3 and len(left) > 2:
-        for c in lexicon.compounds:
-            if distance(hyphened, c) <= MOST_COST:
-                return False
+        return not lexicon.misread_compound(left.lower(), right.lower())
     return True
 
 
