@@ -102,10 +102,9 @@ def load_vocabulary(path: str) -> Vocabulary:
 
 @functools.lru_cache(maxsize=4)
 def _displaced(vocabulary: Vocabulary) -> tuple[list[int], list[int]]:
-    """(table, offsets): the merge of (left, right) lies at offsets[left] + right as left << 17 | rank.
+    """(table, offsets): the merge of (left, right) lies at offsets[left] + right as (left + 1) << 17 | rank, other places are 0.
 
-    The rows of the left tokens are laid over each other, the longest first, so that no two entries meet;
-    places between them bear a token that begins no merge.
+    The rows of the left tokens are laid over each other, the longest first, so that no two entries meet.
     """
     rows = defaultdict(list)
     for rank, (left, right) in enumerate(vocabulary.pairs):
@@ -113,7 +112,7 @@ def _displaced(vocabulary: Vocabulary) -> tuple[list[int], list[int]]:
     n = len(vocabulary.tokens)
     size = 8 * n
     free = np.ones(size, bool)
-    table = np.full(size, next(i for i in range(n + 1) if i not in rows) << 17, np.int64)
+    table = np.zeros(size, np.int64)
     offsets = np.zeros(n + 1, np.int64)
     at, was = 0, 0
     for left, row in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
@@ -133,7 +132,7 @@ def _displaced(vocabulary: Vocabulary) -> tuple[list[int], list[int]]:
             at += 4096
         offsets[left] = places[0]
         free[places[0] + right] = False
-        table[places[0] + right] = left << 17 | rank
+        table[places[0] + right] = (left + 1) << 17 | rank
     return table[: int(offsets.max()) + n + 1].tolist(), offsets.tolist()
 
 
@@ -150,21 +149,22 @@ def _fold(vocabulary: Vocabulary, piece: str) -> Column:
     """
     table, offsets = _displaced(vocabulary)
     size = _END + 1
-    of_bytes = [_NO_MERGE | vocabulary.single[b] for b in range(256) for _ in range(size)]
+    # Of two bytes the rank of their merge, less what stands for none; of a byte its id with none.
+    of_pairs, of_bytes = [0] * (256 * size), [_NO_MERGE | i for i in vocabulary.single]
     byte_of = {i: b for b, i in enumerate(vocabulary.single)}
     for rank, (left, right) in enumerate(vocabulary.pairs):
         if left in byte_of and right in byte_of:
-            of_bytes[byte_of[left] * size + byte_of[right]] = rank << 17 | left
+            of_pairs[byte_of[left] * size + byte_of[right]] = (rank << 17) - _NO_MERGE
     bytes_of = f"transform(split(concat(decode({piece}, 'ISO-8859-1'), '\\u0100'), ''), c -> ascii(c))"
-    start = f"transform(array({bytes_of}), x -> transform(sequence(0, size(x) - 2), j -> t.p[x[j] * {size} + x[j + 1]]))[0]"
+    start = f"transform(array({bytes_of}), x -> transform(sequence(0, size(x) - 2), j -> t.p[x[j] * {size} + x[j + 1]] + t.b[x[j]]))[0]"
     # An entry of the table, less its own left token's bits, is the rank; an entry of another token stays above all ranks.
-    entry = lambda left, right: f"shiftleft(t.c[t.o[{left}] + {right}] ^ shiftleft({left}, 17), 17) + {left}"
+    entry = lambda left, right: f"shiftleft(t.c[t.o[{left}] + {right}] ^ shiftleft({left} + 1, 17), 17) + {left}"
     merged = f"coalesce({entry('w.m', f'(get(s, w.p + 1) & {_LOW}L)')}, {_NO_MERGE}L + w.m)"
     before = entry(f"(y & {_LOW}L)", "w.m")
     places = f"transform(s, (y, j) -> case when j > w.p then y when j = w.p then -1L when j = w.p - 1 then {merged} when j = w.p - 2 then {before} else y end)"
     least = f"named_struct('p', cast(array_position(s, array_min(s)) as int), 'm', shiftright(array_min(s), 17) + {vocabulary.first}L)"
     step = f"case when array_min(s) >= {_NO_MERGE}L then s else array_remove(transform(array({least}), w -> {places})[0], -1L) end"
-    constants = f"named_struct('c', {_literal(table, 'bigint')}, 'o', {_literal(offsets, 'bigint')}, 'p', {_literal(of_bytes, 'bigint')})"
+    constants = f"named_struct('c', {_literal(table, 'bigint')}, 'o', {_literal(offsets, 'bigint')}, 'p', {_literal(of_pairs, 'bigint')}, 'b', {_literal(of_bytes, 'bigint')})"
     merges = f"aggregate(sequence(1, octet_length({piece}) - 1), {start}, (s, i) -> {step})"
     return F.expr(f"transform(array({constants}), t -> transform({merges}, y -> cast(y & {_LOW}L as int)))[0]")
 
@@ -336,8 +336,8 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
     """(``key``, ids): the token ids of every text, one row per row of ``docs``, without special tokens.
 
     A null and an empty text have no ids (an empty array).  Strings of special tokens are ordinary
-    text.  ``key`` is a long column; null and repeated keys are allowed.  String columns named in
-    ``keep`` come along, other columns are ignored.
+    text.  ``key`` is a long column; null and repeated keys are allowed (rows with the same key and the same
+    text lie in one block).  String columns named in ``keep`` come along, other columns are ignored.
     Pieces of more than ``fold_bytes`` bytes, which runs without blanks or letters may form, are merged
     with a heap instead of the fold, for the fold's cost grows with the square of the length; the ids are
     the same.
